@@ -37,8 +37,8 @@ from . import textops as T
 from .work import Work
 
 WINDOW, BLOCK = 20, 10
-SHARD_BYTES = 16 << 20
-RANGE_WORDS = 8_000_000
+SHARD_BYTES = 6 << 20
+RANGE_WORDS = 4_000_000
 FILTER_BITS = 1 << 26
 _U = np.uint64
 _LAST = (1 << 63) - 1
@@ -311,7 +311,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, work: Wor
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
-    T.small_batches(spark)
+    T.small_batches(spark, 6)
     work = work or Work(spark, "substrings")
     docs = _keyed(docs)
     size = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)

@@ -177,6 +177,6 @@ def slices(batches, limit: int = 8 << 20, column_name: str = "text"):
             yield b.slice(i, j - i)
 
 
-def small_batches(spark, mb: int = 16) -> None:
+def small_batches(spark, mb: int = 8) -> None:
     """Bounds the Arrow batches sent to Python by bytes, besides their row count."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
