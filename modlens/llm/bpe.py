@@ -19,6 +19,7 @@ import re
 import uuid
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,8 +27,9 @@ from . import textops as T
 
 PIECE_CHARS = 1 << 18
 BATCH_CHARS = 1 << 20
-CACHE = 200_000
+CACHE = 500_000
 # between two ASCII letters or digits and one space a match always ends
+_UNCUT = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"[A-Za-z0-9](?= [A-Za-z0-9])")
 
 
@@ -64,7 +66,7 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class Codec:
     """Encodes to ids and back.  Built from ranks (bytes to id) and the pattern whose matches are merged."""
 
-    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str, cache: int = CACHE):
+    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str, cache: int = 10_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -128,6 +130,57 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
+class Units:
+    """Encodes texts unit by unit and keeps what make() does of each unit's ids.
+
+    A text is cut before every single space between two characters that are no white space: a match of
+    the pattern always begins there.  Units repeat a great deal, and those not met yet are encoded
+    together, as one text whose tokens that begin with a space begin the units.
+    """
+
+    def __init__(self, codec: Codec, make, cache: int = CACHE):
+        self.codec, self.make, self.cache = codec, make, cache
+        self.known: dict = {}
+        self.opens = np.zeros(max(codec.bytes_of) + 1, bool)
+        self.opens[[i for i, b in codec.bytes_of.items() if b[:1] == b" "]] = True
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Units; all but the first have lost the space in front."""
+        parts = text.split(" ")
+        if not _UNCUT.search(text):
+            return parts
+        out, own = [], parts[0]
+        for p in parts[1:]:
+            if own and p and not own[-1].isspace() and not p[0].isspace():
+                out.append(own)
+                own = p
+            else:
+                own += " " + p
+        return [*out, own]
+
+    def of(self, texts: list[str]) -> list[list]:
+        """For each text what make() gave for its units, in order."""
+        cut = [self.cut(t) for t in texts]
+        new = set().union(*[x[1:] for x in cut]).difference(self.known)
+        if len(self.known) + len(new) > self.cache:
+            self.known.clear()
+            new = set().union(*[x[1:] for x in cut])
+        plain = [u for u in new if len(u) <= 64 and " " not in u]
+        odd = [u for u in new if len(u) > 64 or " " in u]
+        for i in range(0, len(plain), 8192):
+            group = plain[i : i + 8192]
+            ids = np.array(self.codec.tok.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids)
+            at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+            ids = ids.tolist()
+            for u, a, b in zip(group, at[:-1], at[1:], strict=True):
+                self.known[u] = self.make(ids[a:b])
+        for u, ids in zip(odd, self.codec.encode([" " + u for u in odd]), strict=True):
+            self.known[u] = self.make(ids)
+        first = self.codec.encode([x[0] for x in cut])
+        return [[self.make(f), *map(self.known.__getitem__, x[1:])] for f, x in zip(first, cut, strict=True)]
+
+
 def char_of_byte(text: str, at: list[int]) -> list[int]:
     """Character positions of byte positions, by binary search over the characters' first bytes."""
     starts, n = [], 0
@@ -165,13 +218,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN, off
 
     def run(batches):
         c = codec()
-        for b in T.slices(batches, 2 << 20):
+        units = Units(c, lambda ids: ids)
+        for b in T.slices(batches, 1 << 20):
             texts = [x or "" for x in b.column("text").to_pylist()]
             if offsets:
                 got = c.encode_with_offsets(texts)
                 cols = [[i for i, _ in got], [[a for a, _ in o] for _, o in got], [[z for _, z in o] for _, o in got]]
             else:
-                cols = [c.encode(texts)]
+                cols = [[[i for ids in x for i in ids] for x in units.of(texts)]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in cols]], ["doc_id", "ids", "starts", "ends"][: 1 + len(cols)])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
@@ -200,11 +254,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN)
 
     def run(batches):
         c = codec()
-        for b in T.slices(batches, 2 << 20):
+        units = Units(c, lambda ids: (len(ids), b"".join(map(c.digits.__getitem__, ids)), c.decode_bytes(ids)))
+        for b in T.slices(batches, 1 << 20):
             rows = []
-            for ids in c.encode([x or "" for x in b.column("text").to_pylist()]):
-                listed = b"".join(map(c.digits.__getitem__, ids))[:-1]
-                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(c.decode_bytes(ids)).hexdigest()))
+            for got in units.of([x or "" for x in b.column("text").to_pylist()]):
+                n, listed, back = zip(*got, strict=True)
+                rows.append((sum(n), hashlib.sha256(b"".join(listed)[:-1]).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
