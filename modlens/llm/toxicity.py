@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import chars, textops as T
 
 ORDERS = (3, 4, 5, 6)
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 DIM = 2
 GAIN = 5.0
 PER_LABEL, SAMPLE_CHARS = 1500, 20_000
@@ -31,21 +32,20 @@ MIN_SHARE = 0.005
 STEPS, RATE, DECAY = 60, 2.0, 1e-2
 
 
-def _bag(codes: np.ndarray, first: np.ndarray):
-    """(table row, place) of every n-gram that has no word end inside."""
-    for n in ORDERS:
-        h, end = chars.grams(codes, first, n)
-        start = end - n + 1
-        inside = np.cumsum(codes == 0)
-        ok = inside[end - 1] - inside[start] == 0  # no 0 strictly between the first and last character
-        ok &= (codes[start] != 0) | (codes[end] != 0) | (n > 2)
-        yield (h[ok] % np.uint64(BUCKETS)).astype(np.int64), start[ok]
-    gap = np.flatnonzero(codes == 0)
-    s, e = gap[:-1] + 1, gap[1:]
-    s, e = s[e > s], e[e > s]
-    if len(s):  # the whole word
-        c = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint32(1)).astype(np.uint64) * T._pow("b", T._B, len(codes))[: len(codes)])))
-        yield (T.mix((c[e] - c[s]) * T._pow("i", T._BINV, len(codes))[s]) % np.uint64(BUCKETS)).astype(np.int64), s
+def _bag(codes: np.ndarray):
+    """(table row, start) for the n-grams of each order that have no word end inside."""
+    c = codes.astype(np.uint64) + np.uint64(1)
+    inner = codes != 0
+    h, ok = c, None
+    for n in range(2, ORDERS[-1] + 1):
+        if len(c) < n:
+            return
+        h = h[:-1] * np.uint64(T._B) + c[n - 1 :]
+        if n > 2:
+            ok = inner[1 : len(c) - n + 2].copy() if ok is None else ok[:-1] & inner[n - 2 : len(c) - 1]
+        if n in ORDERS:
+            at = np.flatnonzero(ok)
+            yield ((h[at] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64), at
 
 
 class Model:
@@ -55,22 +55,37 @@ class Model:
     def __init__(self, used: np.ndarray, weights: np.ndarray, scale: np.ndarray, bias: float):
         self.used, self.weights, self.scale, self.bias = used, weights, scale, bias
 
-    def counts(self, text: str) -> np.ndarray:
-        out = np.zeros(len(self.weights) + 1)
-        for piece in _pieces(text):
-            for row, _ in _bag(*chars.folded([piece])):
-                out += np.bincount(self.used[row] + 1, minlength=len(out))
-        return out[1:]
+    def counts(self, texts: list[str]):
+        """For each text its n-grams as (compact row, count)."""
+        codes, first = chars.folded(texts)
+        found, cuts = [], []
+        for row, at in _bag(codes):
+            own = self.used[row]
+            kept = own >= 0
+            found.append(own[kept])
+            cuts.append(np.searchsorted(at[kept], first))
+        for i in range(len(texts)):
+            rows = np.concatenate([f[c[i] : c[i + 1]] for f, c in zip(found, cuts, strict=True)]) if found else np.zeros(0, np.int64)
+            c = np.bincount(rows, minlength=len(self.weights))
+            at = np.flatnonzero(c)
+            yield at, c[at]
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        own, out = self.weights * self.scale, np.empty(len(texts))
-        square = self.scale**2
-        for i, t in enumerate(texts):
-            c = self.counts(t)
-            at = np.flatnonzero(c)
-            c = c[at]
-            out[i] = GAIN * (np.sqrt(c) @ own[at]) / max(np.sqrt(c @ square[at]), 1e-9)
-        return out + self.bias
+        own, square = self.weights * self.scale, self.scale**2
+        out = []
+        sizes = np.array([0, *map(len, texts)]).cumsum()
+        for i, j in T.groups_by_bytes(sizes, 1 << 18):
+            pieces = [p for t in texts[i:j] for p in _pieces(t)]
+            if len(pieces) == j - i:
+                bags = self.counts(pieces)
+            else:  # one very long text
+                total = np.zeros(len(self.weights))
+                for p in pieces:
+                    for at, c in self.counts([p]):
+                        total[at] += c
+                bags = [(np.flatnonzero(total), total[total > 0])]
+            out += [GAIN * (np.sqrt(c) @ own[at]) / max(np.sqrt(c @ square[at]), 1e-9) for at, c in bags]
+        return np.array(out) + self.bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30)))
@@ -88,6 +103,27 @@ def _pieces(text: str, limit: int = 1 << 20):
     yield text[at:]
 
 
+def calibrated(texts: list[str], labels: list[int], prior: float) -> Model:
+    """fit(), with the bias moved so that a score of 0.5 gives the best F1 where label 1 has the share `prior`.
+
+    The logits for that come from two models, each fitted on the half that the other is scored on.
+    """
+    model, y = fit(texts, labels), np.array(labels, np.int64)
+    if not 8 <= y.sum() <= len(y) - 8:
+        return model
+    half = np.arange(len(y)) % 2 == 0
+    z = np.empty(len(y))
+    for own in (half, ~half):
+        part = fit([t for t, k in zip(texts, own, strict=True) if k], y[own].tolist())
+        z[~own] = part.logits([t for t, k in zip(texts, own, strict=True) if not k])
+    order = np.argsort(-z)
+    w = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))[order]
+    f1 = 2 * np.cumsum(w * y[order]) / (np.cumsum(w) + (w * y[order]).sum())
+    k = min(int(f1.argmax()), len(z) - 2)
+    model.bias -= float(np.clip((z[order][k] + z[order][k + 1]) / 2, -2, 2))
+    return model
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Trains table and softmax together by gradient descent, both labels weighing the same in all."""
     y = np.array(labels, np.int64)
@@ -98,7 +134,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(used, none, none, float(np.log(share / (1 - share))))
     bags = []
     for t in texts:
-        got = [x for piece in _pieces(t) for x, _ in _bag(*chars.folded([piece]))]
+        got = [x for piece in _pieces(t) for x, _ in _bag(chars.folded([piece])[0])]
         bags.append(np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True))
     of = np.repeat(np.arange(len(y)), [len(r) for r, _ in bags])
     row, count = np.concatenate([r for r, _ in bags]), np.concatenate([c for _, c in bags]).astype(float)
@@ -136,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample
     own = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     rows = docs.select("doc_id", "text").where(~chars.held_out()).join(own, "doc_id")
     got = chars.sample(rows, "label", per_label, sample_chars)
-    return fit([r["text"] for r in got], [r["label"] for r in got])
+    share = rows.agg(F.avg("label").alias("p")).first()["p"]
+    return calibrated([r["text"] for r in got], [r["label"] for r in got], share or 0.5)
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
