@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, substrings, toxicity, warc
+from . import bpe, chat, decontam, langid, neardup, substrings, toxicity, warc
 
 
 def tokenizer() -> tuple[str, str]:
@@ -25,6 +25,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render_conversations(rows, p.path("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
 
 
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -51,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_read(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_toxicity, op6_warc, op7_byte_bpe, op8_language_id, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_minhash_neardup, op5_toxicity, op6_warc, op7_byte_bpe, op8_language_id, op9_benchmark_decontamination, op10_substring_dedup)}
 
 ORACLES = {
     "op10_substring_dedup": r"""
