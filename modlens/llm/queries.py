@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, neardup, substrings, toxicity, warc
+from . import bpe, chat, decontam, langid, linededup, neardup, substrings, toxicity, warc
 
 
 def tokenizer() -> tuple[str, str]:
@@ -25,6 +25,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render_conversations(rows, p.path("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_read(spark, sf_dir, "documents"), texts=False)
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_read(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_minhash_neardup, op5_toxicity, op6_warc, op7_byte_bpe, op8_language_id, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_line_dedup, op4_minhash_neardup, op5_toxicity, op6_warc, op7_byte_bpe, op8_language_id, op9_benchmark_decontamination, op10_substring_dedup)}
 
 ORACLES = {
     "op10_substring_dedup": r"""
@@ -97,3 +101,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+ORACLES["op3_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, i - 1 AS number, ls[i] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+o AS (SELECT * FROM l WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+d AS (SELECT t, length(t) AS n, min({'d': doc_id, 'i': number}) AS first FROM o GROUP BY t),
+p AS (SELECT a.t AS t, b.first AS theirs FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 40 AND b.n >= 40 AND a.t <> b.t
+      AND (left(a.t, 13) = left(b.t, 13) OR right(a.t, 13) = right(b.t, 13) OR substr(a.t, a.n // 3 + 1, a.n // 3) IN (substr(b.t, a.n // 3 - 1, a.n // 3), substr(b.t, a.n // 3, a.n // 3), substr(b.t, a.n // 3 + 1, a.n // 3), substr(b.t, a.n // 3 + 2, a.n // 3), substr(b.t, a.n // 3 + 3, a.n // 3)))
+      AND levenshtein(a.t, b.t) <= 2),
+e AS (SELECT d.t, least(any_value(d.first), min(coalesce(p.theirs, d.first))) AS first, count(p.theirs) AS links FROM d LEFT JOIN p USING (t) GROUP BY d.t),
+m AS (SELECT doc_id, sum(links) AS n_links, list(number ORDER BY number) FILTER (WHERE {'d': doc_id, 'i': number} > first) AS removed,
+        list(first.d ORDER BY number) FILTER (WHERE {'d': doc_id, 'i': number} > first) AS firsts FROM o JOIN e USING (t) GROUP BY doc_id)
+SELECT x.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed,
+       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, [])::INTEGER[] AS removed, coalesce(firsts, [])::BIGINT[] AS first_docs,
+       sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda t, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10))) AS kept_sha256
+FROM documents x LEFT JOIN m USING (doc_id)"""
