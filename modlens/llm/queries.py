@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, langid, linededup, neardup, substrings, toxicity, warc
+from . import bm25, bpe, chat, decontam, langid, linededup, neardup, substrings, toxicity, warc
 
 
 def tokenizer() -> tuple[str, str]:
@@ -25,6 +25,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render_conversations(rows, p.path("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
 
 
+def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    hits = bm25.search(docs, docs.where("doc_id % 20 = 0"))
+    return hits.withColumn("score", F.round("score", 4))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_read(spark, sf_dir, "documents"), texts=False)
 
@@ -59,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_read(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_line_dedup, op4_minhash_neardup, op5_toxicity, op6_warc, op7_byte_bpe, op8_language_id, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bm25_topk, op3_line_dedup, op4_minhash_neardup, op5_toxicity, op6_warc, op7_byte_bpe, op8_language_id, op9_benchmark_decontamination, op10_substring_dedup)}
 
 ORACLES = {
     "op10_substring_dedup": r"""
@@ -116,3 +122,14 @@ SELECT x.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(1
        coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, [])::INTEGER[] AS removed, coalesce(firsts, [])::BIGINT[] AS first_docs,
        sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda t, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10))) AS kept_sha256
 FROM documents x LEFT JOIN m USING (doc_id)"""
+
+ORACLES["op2_bm25_topk"] = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY ALL),
+len AS (SELECT doc_id, sum(n) AS l FROM tf GROUP BY doc_id),
+c AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(l) FROM len) / (SELECT count(*) FROM documents) AS avg),
+idf AS (SELECT t, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY t, docs),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.n * idf * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * l / avg))) AS score
+      FROM tf q JOIN tf d USING (t) JOIN idf USING (t) JOIN len ON len.doc_id = d.doc_id, c WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, d.doc_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank, doc_id, round(score, 4) AS score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
