@@ -27,8 +27,8 @@ BITS = 18
 BUCKETS = 1 << BITS
 DIM = 2
 GAIN = 5.0
-PER_LABEL, SAMPLE_CHARS = 1500, 20_000
-MIN_SHARE = 0.005
+PER_LABEL, SAMPLE_CHARS = 1500, 12_000
+MIN_SHARE, MAX_SHARE = 0.005, 0.4
 STEPS, RATE, DECAY = 60, 2.0, 1e-2
 
 
@@ -70,6 +70,12 @@ class Model:
             at = np.flatnonzero(c)
             yield at, c[at]
 
+    def of_bag(self, row: np.ndarray, count: np.ndarray) -> float:
+        """The logit of one text, from _bag_of()."""
+        own = self.used[row]
+        at, c = own[own >= 0], count[own >= 0]
+        return GAIN * float(np.sqrt(c) @ (self.weights * self.scale)[at]) / max(float(np.sqrt(c @ self.scale[at] ** 2)), 1e-9) + self.bias
+
     def logits(self, texts: list[str]) -> np.ndarray:
         own, square = self.weights * self.scale, self.scale**2
         out = []
@@ -108,14 +114,15 @@ def calibrated(texts: list[str], labels: list[int], prior: float) -> Model:
 
     The logits for that come from two models, each fitted on the half that the other is scored on.
     """
-    model, y = fit(texts, labels), np.array(labels, np.int64)
+    bags, y = [_bag_of(t) for t in texts], np.array(labels, np.int64)
+    model = fit(bags, labels)
     if not 8 <= y.sum() <= len(y) - 8:
         return model
     half = np.arange(len(y)) % 2 == 0
     z = np.empty(len(y))
     for own in (half, ~half):
-        part = fit([t for t, k in zip(texts, own, strict=True) if k], y[own].tolist())
-        z[~own] = part.logits([t for t, k in zip(texts, own, strict=True) if not k])
+        part = fit([t for t, k in zip(bags, own, strict=True) if k], y[own].tolist())
+        z[~own] = [part.of_bag(*t) for t, k in zip(bags, own, strict=True) if not k]
     order = np.argsort(-z)
     w = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))[order]
     f1 = 2 * np.cumsum(w * y[order]) / (np.cumsum(w) + (w * y[order]).sum())
@@ -124,7 +131,14 @@ def calibrated(texts: list[str], labels: list[int], prior: float) -> Model:
     return model
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+def _bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The table rows of a text's n-grams with their counts."""
+    got = [x for piece in _pieces(text) for x, _ in _bag(chars.folded([piece])[0])]
+    row, count = np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True)
+    return row.astype(np.int32), count.astype(np.float32)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
     """Trains table and softmax together by gradient descent, both labels weighing the same in all."""
     y = np.array(labels, np.int64)
     used = np.full(BUCKETS, -1, np.int64)
@@ -132,20 +146,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     none = np.zeros(0)
     if not 0 < y.sum() < len(y):
         return Model(used, none, none, float(np.log(share / (1 - share))))
-    bags = []
-    for t in texts:
-        got = [x for piece in _pieces(t) for x, _ in _bag(chars.folded([piece])[0])]
-        bags.append(np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True))
-    of = np.repeat(np.arange(len(y)), [len(r) for r, _ in bags])
-    row, count = np.concatenate([r for r, _ in bags]), np.concatenate([c for _, c in bags]).astype(float)
-    # rows that few texts share say nothing about other texts
-    kept = np.flatnonzero(np.bincount(row, minlength=BUCKETS) >= max(2, MIN_SHARE * len(y)))
+    of = np.repeat(np.arange(len(y), dtype=np.int32), [len(r) for r, _ in bags])
+    row, count = np.concatenate([r for r, _ in bags]), np.concatenate([c for _, c in bags])
+    # rows that few texts share say nothing about other texts, rows that most share tell none apart
+    texts = np.bincount(row, minlength=BUCKETS)
+    kept = np.flatnonzero((texts >= max(2, MIN_SHARE * len(y))) & (texts <= MAX_SHARE * len(y)))
     used[kept] = np.arange(len(kept))
     ok = used[row] >= 0
-    of, row, count = of[ok], used[row[ok]], count[ok]
+    of, row, count = of[ok], used[row[ok]].astype(np.int32), count[ok]
     scale = 1 / np.sqrt(np.bincount(row, count, minlength=len(kept)) / len(y)) if len(kept) else none
-    x = np.sqrt(count) * scale[row]
-    x *= (GAIN / np.maximum(np.sqrt(np.bincount(of, x * x, minlength=len(y))), 1e-9))[of]
+    x = np.sqrt(count) * scale[row].astype(np.float32)
+    x *= (GAIN / np.maximum(np.sqrt(np.bincount(of, x * x, minlength=len(y))), 1e-9)).astype(np.float32)[of]
     rng = np.random.default_rng(seed)
     table, soft, bias = rng.normal(0, 0.01, (len(kept), DIM)), rng.normal(0, 1, (DIM, 2)), np.zeros(2)
     soft /= np.linalg.norm(soft[:, 1] - soft[:, 0])
@@ -170,15 +181,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS, label: str = "toxic") -> Model:
     """Fits on at most about per_label rows of each label that are not held out."""
     own = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    rows = docs.select("doc_id", "text").where(~chars.held_out()).join(own, "doc_id")
-    got = chars.sample(rows, "label", per_label, sample_chars)
+    rows = docs.select("doc_id").where(~chars.held_out()).distinct().join(own, "doc_id")
+    got = chars.sample(rows, "label", per_label, sample_chars, docs)
     share = rows.agg(F.avg("label").alias("p")).first()["p"]
     return calibrated([r["text"] for r in got], [r["label"] for r in got], share or 0.5)
 
 
-SCORED = "doc_id long, held_out boolean, score double, predicted int"
-
-
 def _scorer(sent):
     def run(batches):
         model = sent.value
