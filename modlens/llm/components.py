@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from .work import Work
 
 
-def components(links: DataFrame, work: Work, most: int = 60) -> DataFrame:
+def components(links: DataFrame, work: Work, name: str, most: int = 60) -> DataFrame:
     """(node, root) of every node that has a link to another; root is the smallest node it is joined to.
 
     links has the columns a and b.  Each round is written out, so a lost executor costs one round; the
     minimum of a node's neighbours is summed up before the shuffle, so a node with very many links is
     not gathered anywhere.
     """
-    edges = work.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0")
+    edges = work.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
     mark = None
     for k in range(1, most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,11 +22,11 @@ def components(links: DataFrame, work: Work, most: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.withColumnRenamed("m", "v")).distinct()
-        edges = work.table(small, f"edges{k}")
+        edges = work.table(small, f"{name}{k}")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
             break
         mark = now
         if k > 1:
-            work.drop(f"edges{k - 2}")
+            work.drop(f"{name}{k - 2}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

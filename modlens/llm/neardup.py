@@ -10,10 +10,11 @@ THRESHOLD or more are links; classes are the connected components.
 
 Copies of one word sequence are one node throughout.  In a bucket every node is compared
 with the leaders so far (those that were not almost equal to an earlier leader) by estimated
-similarity and length, so a bucket of thousands of near copies gives a few pairs for each of
-them, not all pairs.  A bucket with more than LEADERS leaders holds mostly texts that have
-little in common; its nodes go to another round with finer buckets, which any pair of enough
-similarity shares, so nothing is cut off.
+similarity and length.  The first pass verifies each node with its likeliest leader, which
+puts a group of thousands of near copies into one class with a pair or so for each of them.
+The second pass goes over what was left open and verifies every pair that may be alike and is
+not in one class already.  A bucket with more than LEADERS leaders goes to another round with
+finer buckets, which pairs of enough similarity share, so nothing is cut off.
 
 Defined results: texts without words are copies only of equal texts; a text of less than
 SHINGLE words is one shingle; a class's id is the smallest doc_id in it (null only if all are);
@@ -34,7 +35,7 @@ from .work import Work
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 16, 3
-LEADERS, ALMOST, LEAST = 1024, 14, 6
+FEW, LEADERS, ALMOST, LEAST = 64, 1024, 14, 7
 LAST = (1 << 63) - 1  # stands for a null doc_id, behind all others
 _U = np.uint64
 _TOP = _U((1 << 64) - 1)
@@ -140,25 +141,29 @@ def sketch(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, SKETCH)
 
 
-ROUND = "kind int, a binary, a_doc long, b binary, b_doc long, n int, sig binary, bucket long"
+ROUND = "kind int, a binary, a_doc long, b binary, b_doc long, n int, sig binary, bucket long, label long"
+PAIR, LATE, OPEN = 0, 1, 2
 
 
 class _Bucket:
-    """The leaders of one bucket; gives the pairs to verify."""
+    """The leaders of one bucket."""
 
     def __init__(self, most: int | None):
         self.most, self.size, self.over = most, 0, False
         self.nodes: list = []
+        self.open: set = set()
         self.sig, self.n = np.empty((16, SKETCHES), np.uint16), np.empty(16, np.int64)
 
-    def add(self, node, doc, n: int, sig: np.ndarray):
-        """Indices of the leaders to compare with, and whether the node is to go to the next round."""
+    def add(self, row):
+        """Indices of the leaders that the node may be alike to, the likeliest first, and whether it found no
+        place among the leaders."""
+        _, _, n, sig, _ = row
         k = self.size
         same = (self.sig[:k] == sig).sum(1)
         own = self.n[:k]
-        near = (same >= LEAST) & (np.minimum(own, n) >= THRESHOLD * np.maximum(own, n))
-        hits = np.flatnonzero(near)
-        if len(hits) and same[hits].max() >= ALMOST:
+        hits = np.flatnonzero((same >= LEAST) & (np.minimum(own, n) >= THRESHOLD * np.maximum(own, n)))
+        hits = hits[np.argsort(-same[hits], kind="stable")]
+        if len(hits) and same[hits[0]] >= ALMOST:
             return hits, False
         if self.most is not None and k >= self.most:
             self.over = True
@@ -166,13 +171,19 @@ class _Bucket:
         if k == len(self.n):
             self.sig, self.n = np.concatenate([self.sig, np.empty_like(self.sig)]), np.concatenate([self.n, np.empty_like(self.n)])
         self.sig[k], self.n[k] = sig, n
-        self.nodes.append((node, doc, n, sig))
+        self.nodes.append(row)
         self.size += 1
         return hits, False
 
 
-def _pairs(most: int | None):
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+def _pairs(most: int | None, first_pass: bool):
+    """Pairs to verify.
+
+    First pass: each node with its likeliest leader only; nodes that have more to compare come out as OPEN.
+    Second pass, over those with the classes found so far as labels: all pairs of different labels; where a
+    bucket has too many leaders its nodes come out as LATE, for finer buckets.
+    """
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in ROUND.split(", ")]
 
     def batch(out):
@@ -182,17 +193,32 @@ def _pairs(most: int | None):
         """Rows stream by sorted by bucket and node; only buckets of two or more cost anything."""
         out, key, first, own = [], None, None, None
 
-        def feed(node, doc, n, sig):
-            hits, late = own.add(node, doc, n, sig)
-            for i in hits.tolist():
-                other = own.nodes[i]
-                out.append((0, other[0], other[1], node, doc, 0, None, 0))
-            if late:
-                out.append((1, node, doc, None, None, n, sig.tobytes(), key))
+        def pair(a, b):
+            out.append((PAIR, a[0], a[1], b[0], b[1], 0, None, 0, 0))
+
+        def tell(kind, row):
+            node, doc, n, sig, label = row
+            out.append((kind, node, doc, None, None, n, sig.tobytes(), key, label))
+
+        def feed(row):
+            hits, late = own.add(row)
+            if first_pass:
+                if len(hits):
+                    pair(own.nodes[hits[0]], row)
+                if len(hits) > 1 or late:
+                    tell(OPEN, row)
+                    own.open.update(hits[1:].tolist())
+            else:
+                for i in hits.tolist():
+                    if own.nodes[i][4] != row[4]:
+                        pair(own.nodes[i], row)
+                if late:
+                    tell(LATE, row)
 
         def close():
-            if own is not None and own.over:
-                out.extend((1, node, doc, None, None, n, sig.tobytes(), key) for node, doc, n, sig in own.nodes)
+            if own is not None:
+                for i in range(own.size) if own.over else own.open:
+                    tell(OPEN if first_pass else LATE, own.nodes[i]) if first_pass or own.over else None
 
         for b in batches:
             bucket = b.column("bucket").to_numpy()
@@ -202,12 +228,12 @@ def _pairs(most: int | None):
             alone[:1] &= key is None or bucket[:1] != key
             alone[-1:] = False  # the next batch may go on with it
             for i in np.flatnonzero(~alone).tolist():
-                row = (b.column("node")[i].as_py(), b.column("doc_id")[i].as_py(), b.column("n")[i].as_py(), np.frombuffer(b.column("sig")[i].as_py(), np.uint16))
+                row = (b.column("node")[i].as_py(), b.column("doc_id")[i].as_py(), b.column("n")[i].as_py(), np.frombuffer(b.column("sig")[i].as_py(), np.uint16), b.column("label")[i].as_py())
                 if bucket[i] == key:
                     if own is None:
                         own = _Bucket(most)
-                        feed(*first)
-                    feed(*row)
+                        feed(first)
+                    feed(row)
                 else:
                     close()
                     key, first, own = int(bucket[i]), row, None
@@ -271,48 +297,60 @@ def _verify(threshold: float):
     return run
 
 
-def links(docs: DataFrame, work: Work, threshold: float = THRESHOLD, leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all documents, verified links between different word sequences: a, b, similarity)."""
-    spark = docs.sparkSession
-    T.small_batches(spark)
-    sketched = work.table(sketch(docs), "sketches")
-    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
-    rows = nodes.select("node", "doc_id", "n", "sig", F.explode("buckets").alias("bucket"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = None
-    for k in range(8):
-        dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
-        got = work.table(dealt.mapInArrow(_pairs(leaders if k < 7 else None), ROUND), f"round{k}")
-        own = got.where("kind = 0").select("a", "a_doc", "b", "b_doc")
-        pairs = own if pairs is None else pairs.unionByName(own)
-        late = got.where("kind = 1")
-        if late.isEmpty():
-            break
-        # finer buckets: one for each minimum, together with the bucket so far
-        minimum = [F.xxhash64("bucket", F.lit(k), F.lit(t), F.substring("sig", 2 * t + 1, 2)) for t in range(SKETCHES)]
-        rows = late.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id"), "n", "sig", F.explode(F.array(*minimum)).alias("bucket"))
-    pairs = work.table(pairs.distinct(), "pairs")
+def _found(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that hold, with their similarity; only texts that stand in a pair move."""
     wanted = pairs.select(F.col("a_doc").alias("doc_id")).unionByName(pairs.select(F.col("b_doc").alias("doc_id"))).distinct()
     texts = filters.only(_keyed(docs), "doc_id", filters.of(wanted, "doc_id"))
     one = pairs.join(texts.select(F.col("doc_id").alias("a_doc"), F.col("text").alias("text_a")), "a_doc")
     two = one.join(texts.select(F.col("doc_id").alias("b_doc"), F.col("text").alias("text_b")), "b_doc")
-    found = two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary, similarity double")
-    return sketched, work.table(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = None, leaders: int = LEADERS) -> DataFrame:
-    """One row for each document: doc_id, class_id, n_links (of its text to others) and representative."""
-    work = work or Work(docs.sparkSession, "neardup")
-    sketched, found = links(docs, work, threshold, leaders)
-    roots = components(found.select("a", "b"), work)
-    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    """One row for each document: doc_id, class_id and representative (of the smallest doc_id in its class)."""
+    spark = docs.sparkSession
+    T.small_batches(spark)
+    work = work or Work(spark, "neardup")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketched = work.table(sketch(docs), "sketches")
+    facts = [F.first(c).alias(c) for c in ("n", "buckets", "sig")]
+    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts).withColumn("label", F.lit(0).cast("long"))
+    cols = ["node", "doc_id", "n", "sig", "label"]
+
+    def dealt(rows: DataFrame, most, first_pass: bool, name: str) -> DataFrame:
+        return work.table(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(most, first_pass), ROUND), name)
+
+    got = dealt(nodes.select(*cols, F.explode("buckets").alias("bucket")), FEW, True, "first")
+    pairs = work.table(got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc").distinct(), "pairs1")
+    found = work.table(_found(docs, pairs, threshold), "links1")
+    roots = work.table(components(found, work, "one"), "roots1")
+
+    # what the first pass left open: only pairs that are not in one class by now
+    still = got.where(F.col("kind") == OPEN).select(F.col("a").alias("node")).distinct()
+    if not still.isEmpty():
+        own = nodes.drop("label").join(still, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.xxhash64(F.coalesce("root", "node")))
+        rows, pairs = own.select(*cols, F.explode("buckets").alias("bucket")), None
+        for k in range(8):
+            got = dealt(rows, leaders if k < 7 else None, False, f"second{k}")
+            part = got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc")
+            pairs = part if pairs is None else pairs.unionByName(part)
+            late = got.where(F.col("kind") == LATE)
+            if late.isEmpty():
+                break
+            # finer buckets: one for each minimum, together with the bucket so far
+            finer = [F.xxhash64("bucket", F.lit(k), F.lit(t), F.substring("sig", 2 * t + 1, 2)) for t in range(SKETCHES)]
+            rows = late.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id"), "n", "sig", "label", F.explode(F.array(*finer)).alias("bucket"))
+        pairs = work.table(pairs.distinct(), "pairs2")
+        more = work.table(_found(docs, pairs, threshold), "links2")
+        if not more.isEmpty():
+            roots = work.table(components(found.unionByName(more), work, "two"), "roots2")
+
     # first what each word sequence stands for, so that copies are counted once before anything is joined
-    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("own"))
-    placed = nodes.join(roots, "node", "left").join(degree, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = sketched.groupBy("node").agg(F.min("doc_id").alias("own")).join(roots, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     heads = placed.groupBy("root").agg(F.min("own").alias("class_id"))
-    named = placed.join(heads, "root").select("node", "class_id", "n_links")
+    named = placed.join(heads, "root").select("node", "class_id")
     out = sketched.select("doc_id", "node").join(named, "node")
-    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.nullif("class_id", F.lit(LAST)).alias("class_id"), "n_links", (F.col("doc_id") == F.col("class_id")).alias("representative"))
+    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.nullif("class_id", F.lit(LAST)).alias("class_id"), (F.col("doc_id") == F.col("class_id")).alias("representative"))
 
 
 def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
