@@ -346,8 +346,9 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, texts: bo
 def clean(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """All columns, text without the removed lines; a document of which nothing but blank lines is left goes."""
     told = marks(docs, edits, least).select("doc_id", "th", F.col("removed.number").alias("_gone")).where("size(_gone) > 0")
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LAST)), "_th": F.xxhash64("text")})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # other columns travel inside, whatever their names
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").alias("_text"), row.alias("_row"))
     joined = keyed.join(told.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), ["_id", "_th"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
+    kept = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
     out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept)).where("_gone is null or trim(translate(_kept, '\\t\\n\\u000b\\f\\r', '')) <> ''")
-    return out.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.coalesce("_kept", "_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

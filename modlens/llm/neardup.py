@@ -13,8 +13,9 @@ with the leaders so far (those that were not almost equal to an earlier leader)
 similarity and length.  The first pass verifies each node with its likeliest leader, which
 puts a group of thousands of near copies into one class with a pair or so for each of them.
 The second pass goes over what was left open and verifies every pair that may be alike and is
-not in one class already.  A bucket with more than LEADERS leaders goes to another round with
-finer buckets, which pairs of enough similarity share, so nothing is cut off.
+not in one class already.  A bucket with more than LEADERS leaders is dealt out again into
+finer buckets, which pairs of enough similarity share and which have no such limit, so nothing
+is cut off.
 
 Defined results: texts without words are copies only of equal texts; a text of less than
 SHINGLE words is one shingle; a class's id is the smallest doc_id in it (null only if all are);
@@ -330,8 +331,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
     if not still.isEmpty():
         own = nodes.drop("label").join(still, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.xxhash64(F.coalesce("root", "node")))
         rows, pairs = own.select(*cols, F.explode("buckets").alias("bucket")), None
-        for k in range(8):
-            got = dealt(rows, leaders if k < 7 else None, False, f"second{k}")
+        for k in range(2):
+            got = dealt(rows, None if k else leaders, False, f"second{k}")
             part = got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc")
             pairs = part if pairs is None else pairs.unionByName(part)
             late = got.where(F.col("kind") == LATE)
@@ -339,6 +340,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
                 break
             # finer buckets: one for each minimum, together with the bucket so far
             finer = [F.xxhash64("bucket", F.lit(k), F.lit(t), F.substring("sig", 2 * t + 1, 2)) for t in range(SKETCHES)]
+            late = late.dropDuplicates(["a", "bucket"])
             rows = late.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id"), "n", "sig", "label", F.explode(F.array(*finer)).alias("bucket"))
         pairs = work.table(pairs.distinct(), "pairs2")
         more = work.table(_found(docs, pairs, threshold), "links2")
@@ -356,5 +358,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
 def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document of smallest doc_id of each class, all columns kept."""
     kept = classes(docs, threshold).where("representative").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_none": F.col("doc_id").isNull()})
-    return keyed.join(kept, ["_id", "_none"], "left_semi").dropDuplicates(["_id", "_none", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # other columns travel inside, whatever their names
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text").alias("_text"), row.alias("_row"))
+    return keyed.join(kept, ["_id", "_none"], "left_semi").dropDuplicates(["_id", "_none", "_text"]).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
