@@ -83,7 +83,7 @@ def neighbourhood(records: DataFrame, edges: DataFrame, roots: DataFrame, direct
     kept = visited.select("name")
     if found_edges is None:
         found_edges = edges.select("src", "dst").limit(0)
-    edge = found_edges.distinct().join(kept.withColumnRenamed("name", "src"), "src", "left_semi").join(kept.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    edge = found_edges.distinct().join(kept.withColumnRenamed("name", "src"), "src", "left_semi").join(kept.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst")
     count = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("dependent_count"))
     facts = records.select("name", F.lit(True).alias("present"), F.size("deps").alias("dep_count")).join(count, "name", "left")
     nodes = visited.join(facts, "name", "left").select(
