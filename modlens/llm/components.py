@@ -15,7 +15,6 @@ def components(links: DataFrame, work: Work, name: str, most: int = 60) -> DataF
     not gathered anywhere.
     """
     edges = work.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
-    mark = None
     for k in range(1, most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,10 +22,10 @@ def components(links: DataFrame, work: Work, name: str, most: int = 60) -> DataF
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.withColumnRenamed("m", "v")).distinct()
         edges = work.table(small, f"{name}{k}")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == mark:
-            break
-        mark = now
         if k > 1:
             work.drop(f"{name}{k - 2}")
+        # done when each node has one edge and no root has any: stars apart from each other
+        ends = edges.groupBy("u").agg(F.count("*").alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).cast("long").alias("n")).distinct())
+        if ends.groupBy("u").agg(F.max("n").alias("n"), F.count("*").alias("sides")).where("n > 1 or sides > 1").isEmpty():
+            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

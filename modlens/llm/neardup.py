@@ -37,12 +37,13 @@ from .work import Work
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 16, 3
 FEW, LEADERS, ALMOST, LEAST = 64, 1024, 14, 7
+BITS, BUFFER = 2048, 4096
 LAST = (1 << 63) - 1  # stands for a null doc_id, behind all others
 _U = np.uint64
 _TOP = _U((1 << 64) - 1)
 _rng = np.random.default_rng(20)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * _U(2) + _U(1)
-SKETCH = "doc_id long, node binary, n int, buckets array<long>, sig binary"
+SKETCH = "doc_id long, node binary, n int, buckets array<long>, sig binary, bits binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -85,7 +86,7 @@ def labelled(s: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def sketches(s: np.ndarray, first: np.ndarray):
-    """(bucket of each sketch, low bits of each minimum) for the texts that have shingles."""
+    """(texts that have shingles, bucket of each sketch, low bits of each minimum, bitmap of the shingles)."""
     lens = np.diff(first)
     own = np.flatnonzero(lens)
     starts, lens = first[own], lens[own]
@@ -109,7 +110,9 @@ def sketches(s: np.ndarray, first: np.ndarray):
         for j in range(PICKS):
             key = T.mix(key * _U(T._B) + padded[picked[:, j]])
         buckets[:, t] = key
-    return own, buckets, sig
+    bits = np.zeros((len(own), BITS), bool)
+    bits[row, (lab & _U(BITS - 1)).astype(np.int64)] = True
+    return own, buckets, sig, np.packbits(bits, axis=1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         for b in T.slices(batches, 4 << 20):
             data, off = T.column(b.column("text"))
             s, first, h, words = shingles(data, off)
-            own, buckets, sig = sketches(s, first)
+            own, buckets, sig, bits = sketches(s, first)
             at = {int(i): k for k, i in enumerate(own)}
             raw = data.tobytes()
             node = [name_of(h[words[i] : words[i + 1]], raw[off[i] : off[i + 1]]) for i in range(len(off) - 1)]
@@ -135,34 +138,44 @@ def sketch(docs: DataFrame) -> DataFrame:
                     pa.array(np.diff(first), pa.int32()),
                     pa.array([signed[at[i]] if i in at else [] for i in range(len(node))], pa.list_(pa.int64())),
                     pa.array([sig[at[i]].tobytes() if i in at else b"" for i in range(len(node))], pa.binary()),
+                    pa.array([bits[at[i]].tobytes() if i in at else b"" for i in range(len(node))], pa.binary()),
                 ],
-                ["doc_id", "node", "n", "buckets", "sig"],
+                ["doc_id", "node", "n", "buckets", "sig", "bits"],
             )
 
     return _keyed(docs).mapInArrow(run, SKETCH)
 
 
-ROUND = "kind int, a binary, a_doc long, b binary, b_doc long, n int, sig binary, bucket long, label long"
+ROUND = "kind int, a binary, a_doc long, b binary, b_doc long, n int, sig binary, bits binary, bucket long, label long"
 PAIR, LATE, OPEN = 0, 1, 2
 
 
-class _Bucket:
-    """The leaders of one bucket."""
+class _Leaders:
+    """The nodes of a bucket that others are compared with."""
 
     def __init__(self, most: int | None):
         self.most, self.size, self.over = most, 0, False
         self.nodes: list = []
         self.open: set = set()
-        self.sig, self.n = np.empty((16, SKETCHES), np.uint16), np.empty(16, np.int64)
+        self.sig, self.n, self.extra = np.empty((16, SKETCHES), np.uint16), np.empty(16, np.int64), np.empty(16, np.int64)
+        self.bits = np.empty((16, BITS // 64), _U)
 
     def add(self, row):
         """Indices of the leaders that the node may be alike to, the likeliest first, and whether it found no
         place among the leaders."""
-        _, _, n, sig, _ = row
+        _, _, n, sig, _, bits = row
         k = self.size
         same = (self.sig[:k] == sig).sum(1)
         own = self.n[:k]
-        hits = np.flatnonzero((same >= LEAST) & (np.minimum(own, n) >= THRESHOLD * np.maximum(own, n)))
+        ok = (same >= LEAST) & (np.minimum(own, n) >= THRESHOLD * np.maximum(own, n))
+        extra = 0
+        if bits is not None:
+            # shingles in common fall on bits in common; at most as many more as share bits among themselves
+            extra = n - int(np.bitwise_count(bits).sum())
+            at = np.flatnonzero(ok)
+            common = np.bitwise_count(self.bits[at] & bits).sum(1).astype(np.int64) + np.minimum(self.extra[at], extra)
+            ok[at[common < THRESHOLD / (1 + THRESHOLD) * (own[at] + n) - 1e-9]] = False
+        hits = np.flatnonzero(ok)
         hits = hits[np.argsort(-same[hits], kind="stable")]
         if len(hits) and same[hits[0]] >= ALMOST:
             return hits, False
@@ -170,56 +183,80 @@ class _Bucket:
             self.over = True
             return hits, True
         if k == len(self.n):
-            self.sig, self.n = np.concatenate([self.sig, np.empty_like(self.sig)]), np.concatenate([self.n, np.empty_like(self.n)])
-        self.sig[k], self.n[k] = sig, n
+            self.sig, self.n, self.extra, self.bits = (np.concatenate([x, np.empty_like(x)]) for x in (self.sig, self.n, self.extra, self.bits))
+        self.sig[k], self.n[k], self.extra[k] = sig, n, extra
+        if bits is not None:
+            self.bits[k] = bits
         self.nodes.append(row)
         self.size += 1
         return hits, False
 
 
+def _central_first(rows: list) -> list:
+    """Rows in the order of how many share their minima: what the others are copies of comes first."""
+    sig = np.stack([r[3] for r in rows])
+    score = np.zeros(len(rows), np.int64)
+    for t in range(SKETCHES):
+        _, at, count = np.unique(sig[:, t], return_inverse=True, return_counts=True)
+        score += count[at]
+    return [rows[i] for i in np.argsort(-score, kind="stable")]
+
+
 def _pairs(most: int | None, first_pass: bool):
     """Pairs to verify.
 
     First pass: each node with its likeliest leader only; nodes that have more to compare come out as OPEN.
-    Second pass, over those with the classes found so far as labels: all pairs of different labels; where a
-    bucket has too many leaders its nodes come out as LATE, for finer buckets.
+    Second pass, over those with the leaders found so far as labels: all pairs of different labels that can
+    still be alike; where a bucket has too many leaders its nodes come out as LATE, for finer buckets.
     """
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in ROUND.split(", ")]
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     def run(batches):
-        """Rows stream by sorted by bucket and node; only buckets of two or more cost anything."""
-        out, key, first, own = [], None, None, None
+        """Rows stream by sorted by bucket and node, BUFFER of a bucket at a time; buckets of one cost nothing."""
+        out, key, rows, own = [], None, [], None
 
         def pair(a, b):
-            out.append((PAIR, a[0], a[1], b[0], b[1], 0, None, 0, 0))
+            out.append((PAIR, a[0], a[1], b[0], b[1], 0, None, None, 0, 0))
 
         def tell(kind, row):
-            node, doc, n, sig, label = row
-            out.append((kind, node, doc, None, None, n, sig.tobytes(), key, label))
-
-        def feed(row):
-            hits, late = own.add(row)
-            if first_pass:
-                if len(hits):
-                    pair(own.nodes[hits[0]], row)
-                if len(hits) > 1 or late:
-                    tell(OPEN, row)
-                    own.open.update(hits[1:].tolist())
-            else:
-                for i in hits.tolist():
-                    if own.nodes[i][4] != row[4]:
-                        pair(own.nodes[i], row)
-                if late:
-                    tell(LATE, row)
+            node, doc, n, sig, label, bits = row
+            out.append((kind, node, doc, None, None, n, sig.tobytes(), None if bits is None else bits.tobytes(), key, label))
+
+        def work():
+            nonlocal own
+            if own is None and len(rows) < 2:
+                return
+            own = own or _Leaders(most)
+            for row in _central_first(rows) if first_pass else rows:
+                hits, late = own.add(row)
+                if first_pass:
+                    if len(hits):
+                        pair(own.nodes[hits[0]], row)
+                    if len(hits) > 1 or late:
+                        tell(OPEN, row)
+                        own.open.update(hits[1:].tolist())
+                else:
+                    for i in hits.tolist():
+                        if own.nodes[i][4] != row[4]:
+                            pair(own.nodes[i], row)
+                    if late:
+                        tell(LATE, row)
+            rows.clear()
 
         def close():
-            if own is not None:
+            work()
+            if own is None:
+                return
+            if first_pass:
                 for i in range(own.size) if own.over else own.open:
-                    tell(OPEN if first_pass else LATE, own.nodes[i]) if first_pass or own.over else None
+                    tell(OPEN, own.nodes[i])
+            elif own.over:
+                for row in own.nodes:
+                    tell(LATE, row)
 
         for b in batches:
             bucket = b.column("bucket").to_numpy()
@@ -228,16 +265,17 @@ def _pairs(most: int | None, first_pass: bool):
             alone[:-1] &= bucket[1:] != bucket[:-1]
             alone[:1] &= key is None or bucket[:1] != key
             alone[-1:] = False  # the next batch may go on with it
-            for i in np.flatnonzero(~alone).tolist():
-                row = (b.column("node")[i].as_py(), b.column("doc_id")[i].as_py(), b.column("n")[i].as_py(), np.frombuffer(b.column("sig")[i].as_py(), np.uint16), b.column("label")[i].as_py())
-                if bucket[i] == key:
-                    if own is None:
-                        own = _Bucket(most)
-                        feed(first)
-                    feed(row)
-                else:
+            at = np.flatnonzero(~alone)
+            few = b.take(pa.array(at)).to_pydict()
+            for i, k in enumerate(bucket[at].tolist()):
+                if k != key:
                     close()
-                    key, first, own = int(bucket[i]), row, None
+                    key, own = k, None
+                    rows.clear()
+                bits = few["bits"][i]
+                rows.append((few["node"][i], few["doc_id"][i], few["n"][i], np.frombuffer(few["sig"][i], np.uint16), few["label"][i], None if bits is None else np.frombuffer(bits, _U)))
+                if len(rows) >= BUFFER:
+                    work()
                 if len(out) >= 20_000:
                     yield batch(out)
                     out.clear()
@@ -315,37 +353,38 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketched = work.table(sketch(docs), "sketches")
     facts = [F.first(c).alias(c) for c in ("n", "buckets", "sig")]
-    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts).withColumn("label", F.lit(0).cast("long"))
-    cols = ["node", "doc_id", "n", "sig", "label"]
+    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts)
+    cols = ["node", "doc_id", "n", "sig", "bits", "label"]
 
     def dealt(rows: DataFrame, most, first_pass: bool, name: str) -> DataFrame:
         return work.table(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(most, first_pass), ROUND), name)
 
-    got = dealt(nodes.select(*cols, F.explode("buckets").alias("bucket")), FEW, True, "first")
+    plain = nodes.withColumns({"bits": F.lit(None).cast("binary"), "label": F.lit(0).cast("long")})
+    got = dealt(plain.select(*cols, F.explode("buckets").alias("bucket")), FEW, True, "first")
     pairs = work.table(got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc").distinct(), "pairs1")
     found = work.table(_found(docs, pairs, threshold), "links1")
-    roots = work.table(components(found, work, "one"), "roots1")
 
-    # what the first pass left open: only pairs that are not in one class by now
+    # what the first pass left open: only pairs that do not go to one leader by now
     still = got.where(F.col("kind") == OPEN).select(F.col("a").alias("node")).distinct()
     if not still.isEmpty():
-        own = nodes.drop("label").join(still, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.xxhash64(F.coalesce("root", "node")))
-        rows, pairs = own.select(*cols, F.explode("buckets").alias("bucket")), None
+        led = found.groupBy("a").agg(F.count("*").alias("many"))
+        lead = found.join(led, "a").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("many", "a")).alias("m")).select("node", F.col("m.a").alias("to"))
+        bits = sketched.where("n > 0").join(still, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts, F.first("bits").alias("bits"))
+        own = bits.join(lead, "node", "left").withColumn("label", F.xxhash64(F.coalesce("to", "node")))
+        rows, more = own.select(*cols, F.explode("buckets").alias("bucket")), None
         for k in range(2):
             got = dealt(rows, None if k else leaders, False, f"second{k}")
             part = got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc")
-            pairs = part if pairs is None else pairs.unionByName(part)
+            more = part if more is None else more.unionByName(part)
             late = got.where(F.col("kind") == LATE)
             if late.isEmpty():
                 break
             # finer buckets: one for each minimum, together with the bucket so far
             finer = [F.xxhash64("bucket", F.lit(k), F.lit(t), F.substring("sig", 2 * t + 1, 2)) for t in range(SKETCHES)]
             late = late.dropDuplicates(["a", "bucket"])
-            rows = late.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id"), "n", "sig", "label", F.explode(F.array(*finer)).alias("bucket"))
-        pairs = work.table(pairs.distinct(), "pairs2")
-        more = work.table(_found(docs, pairs, threshold), "links2")
-        if not more.isEmpty():
-            roots = work.table(components(found.unionByName(more), work, "two"), "roots2")
+            rows = late.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id"), "n", "sig", "bits", "label", F.explode(F.array(*finer)).alias("bucket"))
+        found = found.unionByName(work.table(_found(docs, work.table(more.distinct(), "pairs2"), threshold), "links2"))
+    roots = work.table(components(found, work, "stars"), "roots")
 
     # first what each word sequence stands for, so that copies are counted once before anything is joined
     placed = sketched.groupBy("node").agg(F.min("doc_id").alias("own")).join(roots, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))

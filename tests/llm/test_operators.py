@@ -385,7 +385,7 @@ def test_decontamination(spark, docs, none, rows):
                     hit[s : s + len(k)] = [True] * len(k)
                     found |= ids
         want.append((key(i), len(w), sum(hit), len(found), sha(",".join(sorted(found))), any(hit)))
-    assert sum(x[-1] for x in want) >= 4
+    assert sum(x[-1] for x in want) >= 3
     for size in (decontam.BLOCK_BYTES, 40):
         got = decontam.report(docs, bench, block_bytes=size).collect()
         assert sorted((key(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == sorted(want)
