@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder that the session names; a temporary one only on one machine."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+    """Writes df to the checkpoint folder that the session names and reads it again.
+
+    A table rather than an RDD checkpoint: its size is known to the planner, so a small frontier is
+    broadcast below Spark's own limit and a large one is joined by sorting.  Only on one machine, with no
+    folder set, a temporary one is taken.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='modlens-')}")
-    return df.checkpoint(eager=True)
+        folder = f"file://{tempfile.mkdtemp(prefix='modlens-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

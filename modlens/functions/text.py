@@ -9,8 +9,8 @@ _EMPTY = "cast(array() as array<string>)"
 
 def lines(text: Column) -> Column:
     """Lines without terminators; a final line end opens no further line; null stays null."""
-    parts = F.split(text, "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.split(F.regexp_replace(text, "\r?\n\\z", ""), "\r?\n", -1)
+    return F.when(text == "", F.expr(_EMPTY)).otherwise(parts)
 
 
 def numbered(rows: Column) -> Column:

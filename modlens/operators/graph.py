@@ -35,7 +35,7 @@ def roots_of(records: DataFrame, names: list[str] = (), pattern: str | None = No
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
     """at, other, pos, src, dst: what each node leads to, dependencies in their order, then dependents by name."""
-    deps = edges.select(F.col("src").alias("at"), F.col("dst").alias("other"), F.struct(F.lit(0).alias("side"), F.col("pos").alias("n"), F.lit("").alias("s")).alias("pos"), "src", "dst")
+    deps = edges.select(F.col("src").alias("at"), F.col("dst").alias("other"), F.struct(F.lit(0).alias("side"), F.col("pos").alias("n"), F.col("dst").alias("s")).alias("pos"), "src", "dst")
     back = edges.select("src", "dst").distinct().select(F.col("dst").alias("at"), F.col("src").alias("other"), F.struct(F.lit(1).alias("side"), F.lit(0).alias("n"), F.col("src").alias("s")).alias("pos"), "src", "dst")
     if direction not in ("deps", "dependents", "both"):
         raise ValueError(f"direction: {direction!r}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import regexes, text as X
 
@@ -24,16 +24,24 @@ def candidates(records: DataFrame, name: str | None = None, exports: str | None
     return records
 
 
-def line_matches(text: Column, source: str, context: int = 0, most: int = 5) -> Column:
-    """struct(match_count, matches): matching lines from 1, with context lines clipped at the ends of the text."""
+def line_matches(texts: DataFrame, source: str, context: int = 0, most: int = 5) -> DataFrame:
+    """texts (with name and text) to name, match_count and matches: matching lines from 1, with context lines
+    clipped at the ends of the text.
+
+    Lines, then matches, are columns of their own: an expression inside a lambda would be worked out anew for
+    each element.
+    """
     p = _pattern(source, "source")
-    lines = X.lines(text)
-    found = F.filter(X.numbered(lines), lambda i: F.get(lines, i - 1).rlike(p))
-    one = lambda i: F.struct(
-        i.alias("line"), F.get(lines, i - 1).alias("text"),
-        F.slice(lines, F.greatest(i - context, F.lit(1)), F.least(i - 1, F.lit(context))).alias("before"), F.slice(lines, i + 1, F.lit(context)).alias("after"),
-    )
-    return F.struct(F.size(found).alias("match_count"), F.transform(F.slice(found, 1, most), one).alias("matches"))
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    found = F.filter(numbered, lambda m: m.text.rlike(p))
+    rows = texts.select("name", X.lines(F.col("text")).alias("lines")).select("name", *["lines"] * (context > 0), found.alias("found"))
+    if context:
+        before = lambda m: F.slice("lines", F.greatest(m.line - context, F.lit(1)), F.least(m.line - 1, F.lit(context)))
+        after = lambda m: F.slice("lines", m.line + 1, F.lit(context))
+    else:
+        before = after = lambda m: F.expr("cast(array() as array<string>)")
+    one = lambda m: F.struct(m.line.alias("line"), m.text.alias("text"), before(m).alias("before"), after(m).alias("after"))
+    return rows.where("size(found) > 0").select("name", F.size("found").alias("match_count"), F.transform(F.slice("found", 1, most), one).alias("matches"))
 
 
 @dataclass
@@ -58,8 +66,7 @@ def search(records: DataFrame, sources: DataFrame | None = None, name: str | Non
         return Result(rows.orderBy("name").limit(limit), cand, rows, limit)
     texts = cand.select("name", F.col("raw_sha256").alias("sha256")).join(sources.select("name", "sha256", "text"), ["name", "sha256"], "left")
     missing = texts.where("text is null").select("name").orderBy("name")
-    scanned = texts.where("text is not null").select("name", line_matches(F.col("text"), source, context, most).alias("m"))
-    rows = scanned.where("m.match_count > 0").select("name", "m.match_count", "m.matches")
+    rows = line_matches(texts.where("text is not null"), source, context, most)
     return Result(rows.orderBy("name").limit(limit), cand, rows, limit, missing)
 
 

@@ -435,7 +435,7 @@ def graph_missing_roots(spark, folder):
     return graph.neighbourhood(records, edges, roots).missing
 
 
-@query(f"""WITH {_D1}, c AS (SELECT dst AS name, min(r0.name || chr(1) || printf('%05d', pos)) AS place FROM e JOIN r0 ON r0.name = e.src WHERE dst NOT IN (SELECT name FROM r0) GROUP BY dst)
+@query(f"""WITH {_D1}, c AS (SELECT dst AS name, min(r0.name || chr(1) || printf('%05d', pos) || chr(1) || dst) AS place FROM e JOIN r0 ON r0.name = e.src WHERE dst NOT IN (SELECT name FROM r0) GROUP BY dst)
 SELECT name, 0 AS depth FROM r0 UNION ALL SELECT * FROM (SELECT name, 1 AS depth FROM c ORDER BY place LIMIT (SELECT greatest(2000 - count(*), 0) FROM r0))""")
 def graph_truncated(spark, folder):
     records, edges = corpus.entity_graph(spark, folder)

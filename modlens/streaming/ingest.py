@@ -28,7 +28,8 @@ def definition_stream(spark: SparkSession, path: str, out: str, checkpoint: str,
 
 def matching_lines(texts: DataFrame, pattern: str) -> DataFrame:
     """name, line and text of matching lines in a stream (or table) of (name, text)."""
-    return texts.select("name", F.explode(search.line_matches(F.col("text"), pattern, most=1 << 30)["matches"]).alias("m")).select("name", "m.line", "m.text")
+    found = search.line_matches(texts, pattern, most=1 << 30)
+    return found.select("name", F.explode("matches").alias("m")).select("name", "m.line", "m.text")
 
 
 def for_each(rows: DataFrame, do: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
