@@ -27,7 +27,7 @@ from . import textops as T
 
 PIECE_CHARS = 1 << 18
 BATCH_CHARS = 1 << 20
-CACHE = 500_000
+CACHE = 300_000
 # between two ASCII letters or digits and one space a match always ends
 _UNCUT = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"[A-Za-z0-9](?= [A-Za-z0-9])")
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN, off
                 cols = [[[i for ids in x for i in ids] for x in units.of(texts)]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in cols]], ["doc_id", "ids", "starts", "ends"][: 1 + len(cols)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
+    return docs.select("doc_id", "text").transform(T.mapped, run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN) -> DataFrame:
@@ -241,7 +241,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").transform(T.mapped, run, "doc_id long, text string")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -263,4 +263,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN)
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return docs.select("doc_id", "text").transform(T.mapped, run, DIGEST)

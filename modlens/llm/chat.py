@@ -157,7 +157,7 @@ def render_conversations(rows: DataFrame, tokenizer_json: str, piece_chars: int
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("conv_id", "turn", "role", "text").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
+    return dealt.select("conv_id", "role", "text").transform(T.mapped, run, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
@@ -204,7 +204,7 @@ def digests(pieces: DataFrame) -> DataFrame:
         if done:
             yield batch()
 
-    return pieces.mapInArrow(run, DIGEST)
+    return pieces.transform(T.mapped, run, DIGEST)
 
 
 def with_probe(rows: DataFrame) -> DataFrame:

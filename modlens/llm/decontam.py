@@ -144,7 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         rows = own.collect()  # about block_bytes by construction
         block = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        out = out.mapInArrow(_pass(block, window), OUT)
+        out = out.transform(T.mapped, _pass(block, window), OUT)
     return out
 
 
@@ -189,5 +189,5 @@ def _clean(keyed: DataFrame, benchmark: DataFrame, options: dict) -> DataFrame:
                 c = np.concatenate(([0], np.cumsum(hit)))
                 yield b.filter(pa.array(c[bounds[1:]] == c[bounds[:-1]]))
 
-        keyed = keyed.mapInArrow(run, keyed.schema)
+        keyed = keyed.transform(T.mapped, run, keyed.schema)
     return keyed

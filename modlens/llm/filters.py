@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import textops as T
+
 BITS = 1 << 26
 _BUCKET = 32768  # positions in one of Spark's bitmaps
 
@@ -35,4 +37,4 @@ def only(df: DataFrame, key: str, bits: bytes) -> DataFrame:
             p = b.column("_at").to_numpy()
             yield b.filter(pa.array(((own[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["_at"])
 
-    return at.mapInArrow(run, schema)
+    return at.transform(T.mapped, run, schema)

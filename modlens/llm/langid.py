@@ -234,4 +234,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, odd = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(odd, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", chars.held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", chars.held_out().alias("held_out"), "text").transform(T.mapped, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

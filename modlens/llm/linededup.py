@@ -263,14 +263,14 @@ def links(docs: DataFrame, work: Work, edits: int = EDITS, least: int = MIN_CHAR
     n_keys = max(1, size // least * (edits + 1) * (edits + 2))
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // (8 * RANGE_KEYS)))
     bits = min(56, max(36, n_keys.bit_length() + 10))
-    found = rows.mapInArrow(_entries(edits, least, n_ranges, bits), EXCHANGE).groupBy("p").applyInArrow(_candidates(edits), "a long, b long")
+    found = rows.transform(T.mapped, _entries(edits, least, n_ranges, bits), EXCHANGE).groupBy("p").applyInArrow(_candidates(edits), "a long, b long")
     pairs = work.table(found.distinct(), "candidates")
     ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     sent = spark.sparkContext.broadcast(_bits_of(ends))
-    lines = work.table(rows.mapInArrow(_occurrences(sent), LINES), "lines")
+    lines = work.table(rows.transform(T.mapped, _occurrences(sent), LINES), "lines")
     texts = lines.where("text is not null").select("line", "text").join(ends, "line", "left_semi").dropDuplicates(["line"])
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    return lines, work.table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(edits), "a long, b long, edits int"), "links")
+    return lines, work.table(both.select("a", "b", "text_a", "text_b").transform(T.mapped, _verified(edits), "a long, b long, edits int"), "links")
 
 
 def marks(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, work: Work | None = None) -> DataFrame:
@@ -338,7 +338,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, texts: bo
     T.small_batches(docs.sparkSession, 4)
     told = marks(docs, edits, least)
     sent = docs.sparkSession.sparkContext.broadcast(_bits_of(told.select(F.col("th").alias("line"))))
-    out = _keyed(docs).mapInArrow(_split(sent, texts), KEPT).join(told, ["doc_id", "th"], "left").drop("th").mapInArrow(_cut(texts), DONE)
+    out = _keyed(docs).transform(T.mapped, _split(sent, texts), KEPT).join(told, ["doc_id", "th"], "left").drop("th").transform(T.mapped, _cut(texts), DONE)
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST))).withColumn("first_docs", F.transform("first_docs", lambda x: F.nullif(x, F.lit(LAST))))
     return out if texts else out.drop("kept")
 

@@ -143,7 +143,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 ["doc_id", "node", "n", "buckets", "sig", "bits"],
             )
 
-    return _keyed(docs).mapInArrow(run, SKETCH)
+    return _keyed(docs).transform(T.mapped, run, SKETCH)
 
 
 ROUND = "kind int, a binary, a_doc long, b binary, b_doc long, n int, sig binary, bits binary, bucket long, label long"
@@ -342,7 +342,7 @@ def _found(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     texts = filters.only(_keyed(docs), "doc_id", filters.of(wanted, "doc_id"))
     one = pairs.join(texts.select(F.col("doc_id").alias("a_doc"), F.col("text").alias("text_a")), "a_doc")
     two = one.join(texts.select(F.col("doc_id").alias("b_doc"), F.col("text").alias("text_b")), "b_doc")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return two.select("a", "b", "text_a", "text_b").transform(T.mapped, _verify(threshold), "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = None, leaders: int = LEADERS) -> DataFrame:
@@ -357,7 +357,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
     cols = ["node", "doc_id", "n", "sig", "bits", "label"]
 
     def dealt(rows: DataFrame, most, first_pass: bool, name: str) -> DataFrame:
-        return work.table(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(most, first_pass), ROUND), name)
+        return work.table(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").transform(T.mapped, _pairs(most, first_pass), ROUND), name)
 
     plain = nodes.withColumns({"bits": F.lit(None).cast("binary"), "label": F.lit(0).cast("long")})
     got = dealt(plain.select(*cols, F.explode("buckets").alias("bucket")), FEW, True, "first")

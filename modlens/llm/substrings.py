@@ -319,13 +319,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, work: Wor
     bits = min(56, max(32, math.ceil(math.log2(n_words)) + 11))
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // RANGE_WORDS))
 
-    probes = docs.mapInArrow(_probe(window, block, bits, n_ranges), EXCHANGE)
+    probes = docs.transform(T.mapped, _probe(window, block, bits, n_ranges), EXCHANGE)
     hits = probes.groupBy("p").applyInArrow(_hit_blocks, EXCHANGE)
     flagged = work.table(hits.groupBy("shard").applyInArrow(_gather_blocks, "doc_id long, th long, blocks array<int>"), "blocks")
 
     sent = spark.sparkContext.broadcast(_filter_of(flagged))
-    near = docs.mapInArrow(_only(sent), docs.schema).join(flagged.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
-    entries = near.select("doc_id", "th", "text", "blocks").mapInArrow(_extend(window, block, n_ranges), EXCHANGE)
+    near = docs.transform(T.mapped, _only(sent), docs.schema).join(flagged.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
+    entries = near.select("doc_id", "th", "text", "blocks").transform(T.mapped, _extend(window, block, n_ranges), EXCHANGE)
     late = entries.groupBy("p").applyInArrow(_later_windows, EXCHANGE)
     runs = late.groupBy("shard").applyInArrow(_gather_windows(window), "doc_id long, th long, runs array<int>")
     return work.table(runs.dropDuplicates(["doc_id", "th"]), "runs")
@@ -391,5 +391,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, texts: bool
                 ["doc_id", "th", "n_words", "n_removed", "kept_sha256", "kept", "text"],
             )
 
-    out = _keyed(docs).mapInArrow(whole, KEPT + ", text string").join(cut, ["doc_id", "th"], "left").mapInArrow(_finish(texts), KEPT)
+    out = _keyed(docs).transform(T.mapped, whole, KEPT + ", text string").join(cut, ["doc_id", "th"], "left").transform(T.mapped, _finish(texts), KEPT)
     return out.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *["kept"] * texts)

@@ -9,6 +9,9 @@ the text: a text longer than a piece is cut between two words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 
 import numpy as np
@@ -177,6 +180,27 @@ def slices(batches, limit: int = 8 << 20, column_name: str = "text"):
             yield b.slice(i, j - i)
 
 
+def mapped(df, run, schema):
+    """df.mapInArrow(run, schema); at its end a task gives the memory back that its worker would keep, as the
+    same worker goes on with other work."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(spark, mb: int = 8) -> None:
     """Bounds the Arrow batches sent to Python by bytes, besides their row count."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

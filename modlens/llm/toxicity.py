@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     T.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
     rows = docs.select("doc_id", chars.held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_scorer(sent), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.transform(T.mapped, _scorer(sent), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -216,4 +216,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for b in T.slices(batches, 4 << 20):
             yield b.filter(pa.array(sent.value.scores([x or "" for x in b.column("text").to_pylist()]) < threshold))
 
-    return keyed.mapInArrow(run, keyed.schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in cols])
+    return keyed.transform(T.mapped, run, keyed.schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in cols])

@@ -120,7 +120,7 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, segme
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    made = typed.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
+    made = typed.transform(T.mapped, run, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS).text(path)
 
 
@@ -235,14 +235,14 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each response and revisit record of the WARC files in the folder `path`."""
     T.small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(_parsed, RECORD).where(F.col("record_type").isin("response", "revisit", "continuation"))
+    rows = files.transform(T.mapped, _parsed, RECORD).where(F.col("record_type").isin("response", "revisit", "continuation"))
     part = "struct(segment, total, block)"
     one = rows.where("segment is null").select("record_id", "record_type", "target_uri", "refers_to", "declared_digest", "block", F.expr(f"cast(null as array<{'struct<segment:int,total:bigint,block:binary>'}>)").alias("segments"))
     many = rows.where("segment is not null").groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_type", "target_uri", "refers_to", "declared_digest")],
         F.expr("cast(null as binary)").alias("block"), F.expr(f"collect_list({part})").alias("segments"),
     )
-    return one.unionByName(many).mapInArrow(_decoded(payloads), PAGE)
+    return one.unionByName(many).transform(T.mapped, _decoded(payloads), PAGE)
 
 
 def round_trip(pages: DataFrame, work: Work | None = None) -> DataFrame:
