@@ -201,6 +201,6 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def small_batches(spark, mb: int = 8) -> None:
+def small_batches(spark, mb: int = 4) -> None:
     """Bounds the Arrow batches sent to Python by bytes, besides their row count."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
