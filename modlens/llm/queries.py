@@ -32,7 +32,8 @@ def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(_read(spark, sf_dir, "documents"), texts=False)
+    out = linededup.dedup(_read(spark, sf_dir, "documents"), texts=False)
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("removed", "first_docs")})
 
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ e AS (SELECT d.t, least(any_value(d.first), min(coalesce(p.theirs, d.first))) AS
 m AS (SELECT doc_id, sum(links) AS n_links, list(number ORDER BY number) FILTER (WHERE {'d': doc_id, 'i': number} > first) AS removed,
         list(first.d ORDER BY number) FILTER (WHERE {'d': doc_id, 'i': number} > first) AS firsts FROM o JOIN e USING (t) GROUP BY doc_id)
 SELECT x.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed,
-       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, [])::INTEGER[] AS removed, coalesce(firsts, [])::BIGINT[] AS first_docs,
+       coalesce(n_links, 0)::BIGINT AS n_links, array_to_string(coalesce(removed, []), ',') AS removed, array_to_string(coalesce(firsts, []), ',') AS first_docs,
        sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda t, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10))) AS kept_sha256
 FROM documents x LEFT JOIN m USING (doc_id)"""
 
