@@ -186,8 +186,7 @@ def _occurrences(sent):
             line = _Hashes(codes).of(start, stop).view(np.int64)
             first = np.zeros(len(line), bool)
             first[np.unique(line, return_index=True)[1]] = True
-            p = np.mod(line, filters.BITS)
-            ask = first & ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+            ask = first & filters.holds(bits, line)
             raw = codes.tobytes()
             spelt = [raw[4 * s : 4 * e].decode("utf-32-le") if k else None for s, e, k in zip(start.tolist(), stop.tolist(), ask.tolist(), strict=True)]
             ids, th = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
@@ -242,16 +241,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _bits_of(df: DataFrame) -> bytes:
-    """A filter as in filters.py, straight on the line's hash, which is one already."""
-    at = F.pmod("line", F.lit(filters.BITS)) + 1
-    rows = df.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(filters.BITS // 8 + 4096, np.uint8)
-    for r in rows:
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
-
-
 def links(docs: DataFrame, work: Work, edits: int = EDITS, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(line occurrences, verified links between different lines: a, b, edits)."""
     if least < 2 * edits + 2:
@@ -266,7 +255,7 @@ def links(docs: DataFrame, work: Work, edits: int = EDITS, least: int = MIN_CHAR
     found = rows.transform(T.mapped, _entries(edits, least, n_ranges, bits), EXCHANGE).groupBy("p").applyInArrow(_candidates(edits), "a long, b long")
     pairs = work.table(found.distinct(), "candidates")
     ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    sent = spark.sparkContext.broadcast(_bits_of(ends))
+    sent = spark.sparkContext.broadcast(filters.of(ends, "line", hashed=True))
     lines = work.table(rows.transform(T.mapped, _occurrences(sent), LINES), "lines")
     texts = lines.where("text is not null").select("line", "text").join(ends, "line", "left_semi").dropDuplicates(["line"])
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
@@ -299,8 +288,7 @@ def _split(sent, texts: bool):
     def run(batches):
         bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            p = np.mod(b.column("th").to_numpy(zero_copy_only=False), filters.BITS)
-            ask = ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool).tolist()
+            ask = filters.holds(bits, b.column("th").to_numpy(zero_copy_only=False)).tolist()
             n, sha, kept, text = [], [], [], []
             for t, k in zip(b.column("text").to_pylist(), ask, strict=True):
                 n.append(None if k else 0 if t is None else t.count("\n") + 1)
@@ -337,7 +325,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, texts: bo
     numbers from 0), first_docs (where each removed line stands first), kept_sha256 and with texts kept."""
     T.small_batches(docs.sparkSession, 4)
     told = marks(docs, edits, least)
-    sent = docs.sparkSession.sparkContext.broadcast(_bits_of(told.select(F.col("th").alias("line"))))
+    sent = docs.sparkSession.sparkContext.broadcast(filters.of(told, "th", hashed=True))
     out = _keyed(docs).transform(T.mapped, _split(sent, texts), KEPT).join(told, ["doc_id", "th"], "left").drop("th").transform(T.mapped, _cut(texts), DONE)
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST))).withColumn("first_docs", F.transform("first_docs", lambda x: F.nullif(x, F.lit(LAST))))
     return out if texts else out.drop("kept")

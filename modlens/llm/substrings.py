@@ -33,13 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import textops as T
+from . import filters, textops as T
 from .work import Work
 
 WINDOW, BLOCK = 20, 10
 SHARD_BYTES = 6 << 20
 RANGE_WORDS = 4_000_000
-FILTER_BITS = 1 << 26
 _U = np.uint64
 _LAST = (1 << 63) - 1
 EXCHANGE = "p int, kind int, shard long, a binary, b binary, c binary, d binary"
@@ -277,30 +276,11 @@ def _gather_windows(window: int):
     return run
 
 
-def _filter_of(df: DataFrame) -> bytes:
-    """One bit for each row's th, in a bitmap of fixed size: says surely which texts are not in df."""
-    at = F.pmod("th", F.lit(FILTER_BITS))
-    rows = df.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    k0 = 0
-    for r in rows:
-        at0 = (r["k"] - 1 if r["k"] > 0 else k0) * 4096
-        out[at0 : at0 + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
-
-
-def _maybe(bits: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """Spark numbers bits from 1 to 32768 in a bucket: position p > 0 is bit (p - 1) % 32768 of bucket 1 + (p - 1) // 32768."""
-    p = np.mod(th, FILTER_BITS)
-    q = np.where(p > 0, p - 1, 0)
-    return ((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool) | (p == 0)
-
-
 def _only(sent):
     def run(batches):
         bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            yield b.filter(pa.array(_maybe(bits, _ids(b)[1])))
+            yield b.filter(pa.array(filters.holds(bits, _ids(b)[1])))
 
     return run
 
@@ -323,7 +303,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, work: Wor
     hits = probes.groupBy("p").applyInArrow(_hit_blocks, EXCHANGE)
     flagged = work.table(hits.groupBy("shard").applyInArrow(_gather_blocks, "doc_id long, th long, blocks array<int>"), "blocks")
 
-    sent = spark.sparkContext.broadcast(_filter_of(flagged))
+    sent = spark.sparkContext.broadcast(filters.of(flagged, "th", hashed=True))
     near = docs.transform(T.mapped, _only(sent), docs.schema).join(flagged.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
     entries = near.select("doc_id", "th", "text", "blocks").transform(T.mapped, _extend(window, block, n_ranges), EXCHANGE)
     late = entries.groupBy("p").applyInArrow(_later_windows, EXCHANGE)
@@ -371,12 +351,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, texts: bool
     """Per document: doc_id, n_words, n_removed, kept_sha256 and (with texts) kept, the kept words joined by one space."""
     spark = docs.sparkSession
     cut = repeats(docs, window, block)
-    sent = spark.sparkContext.broadcast(_filter_of(cut))
+    sent = spark.sparkContext.broadcast(filters.of(cut, "th", hashed=True))
 
     def whole(batches):
         bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            maybe = _maybe(bits, _ids(b)[1])
+            maybe = filters.holds(bits, _ids(b)[1])
             n, sha, kept, text = [], [], [], []
             for m, t in zip(maybe.tolist(), b.column("text").to_pylist(), strict=True):
                 if m:
