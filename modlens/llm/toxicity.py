@@ -109,12 +109,12 @@ def _pieces(text: str, limit: int = 1 << 20):
     yield text[at:]
 
 
-def calibrated(texts: list[str], labels: list[int], prior: float) -> Model:
+def calibrated(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float) -> Model:
     """fit(), with the bias moved so that a score of 0.5 gives the best F1 where label 1 has the share `prior`.
 
     The logits for that come from two models, each fitted on the half that the other is scored on.
     """
-    bags, y = [_bag_of(t) for t in texts], np.array(labels, np.int64)
+    y = np.array(labels, np.int64)
     model = fit(bags, labels)
     if not 8 <= y.sum() <= len(y) - 8:
         return model
@@ -184,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample
     rows = docs.select("doc_id").where(~chars.held_out()).distinct().join(own, "doc_id")
     got = chars.sample(rows, "label", per_label, sample_chars, docs)
     share = rows.agg(F.avg("label").alias("p")).first()["p"]
-    return calibrated([r["text"] for r in got], [r["label"] for r in got], share or 0.5)
+    y, bags = [r["label"] for r in got], [_bag_of(r["text"]) for r in got]
+    del got  # the texts are not needed any more
+    T.release()
+    return calibrated(bags, y, share or 0.5)
 
 
 def _scorer(sent):
