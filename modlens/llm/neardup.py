@@ -8,14 +8,15 @@ of m shingles, found in a band that is as wide as the threshold allows, gives th
 m / (n_a + n_b - m): the Jaccard index of the shingles, but for those out of order.  Pairs of
 THRESHOLD or more are links; classes are the connected components.
 
-Copies of one word sequence are one node throughout.  In a bucket every node is compared
-with the leaders so far (those that were not almost equal to an earlier leader) by estimated
-similarity and length.  The first pass verifies each node with its likeliest leader, which
-puts a group of thousands of near copies into one class with a pair or so for each of them.
-The second pass goes over what was left open and verifies every pair that may be alike and is
-not in one class already.  A bucket with more than LEADERS leaders is dealt out again into
-finer buckets, which pairs of enough similarity share and which have no such limit, so nothing
-is cut off.
+Copies of one word sequence are one node throughout.  The first pass goes over each bucket once and
+verifies every node with its likeliest leader (leaders are those not almost equal to an earlier
+one, FEW at most), which puts a group of thousands of near copies into one class or a few, with a pair or so
+for each of them.  It only saves work.  What is right is settled by the rounds after it: all nodes
+of every bucket that holds more than one class are compared, whether leaders or not, by estimated
+similarity, length and a bound from bitmaps of their shingles, and pairs of different classes that
+may be alike are verified; links make classes, and the next round goes over what is left.
+The first rounds take the likeliest pairs of each node and of each two classes, the last takes all,
+so that in the end no candidate pair of two classes is unverified.
 
 Defined results: texts without words are copies only of equal texts; a text of less than
 SHINGLE words is one shingle; a class's id is the smallest doc_id in it (null only if all are);
@@ -146,50 +147,35 @@ def sketch(docs: DataFrame) -> DataFrame:
     return _keyed(docs).transform(T.mapped, run, SKETCH)
 
 
-ROUND = "kind int, a binary, a_doc long, b binary, b_doc long, n int, sig binary, bits binary, bucket long, label long"
-PAIR, LATE, OPEN = 0, 1, 2
+ROUND = "a binary, a_doc long, b binary, b_doc long"
+LIMITS = (4, 64, None)  # pairs of a node, and of two classes, in a bucket by round; the last has to be None
 
 
 class _Leaders:
-    """The nodes of a bucket that others are compared with."""
+    """The nodes of a bucket that others are compared with in the first pass."""
 
-    def __init__(self, most: int | None):
-        self.most, self.size, self.over = most, 0, False
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
         self.nodes: list = []
-        self.open: set = set()
-        self.sig, self.n, self.extra = np.empty((16, SKETCHES), np.uint16), np.empty(16, np.int64), np.empty(16, np.int64)
-        self.bits = np.empty((16, BITS // 64), _U)
+        self.sig, self.n = np.empty((16, SKETCHES), np.uint16), np.empty(16, np.int64)
 
     def add(self, row):
-        """Indices of the leaders that the node may be alike to, the likeliest first, and whether it found no
-        place among the leaders."""
-        _, _, n, sig, _, bits = row
+        """The leader that the node is likeliest to be alike to, if any."""
+        _, _, n, sig = row
         k = self.size
         same = (self.sig[:k] == sig).sum(1)
         own = self.n[:k]
-        ok = (same >= LEAST) & (np.minimum(own, n) >= THRESHOLD * np.maximum(own, n))
-        extra = 0
-        if bits is not None:
-            # shingles in common fall on bits in common; at most as many more as share bits among themselves
-            extra = n - int(np.bitwise_count(bits).sum())
-            at = np.flatnonzero(ok)
-            common = np.bitwise_count(self.bits[at] & bits).sum(1).astype(np.int64) + np.minimum(self.extra[at], extra)
-            ok[at[common < THRESHOLD / (1 + THRESHOLD) * (own[at] + n) - 1e-9]] = False
-        hits = np.flatnonzero(ok)
-        hits = hits[np.argsort(-same[hits], kind="stable")]
-        if len(hits) and same[hits[0]] >= ALMOST:
-            return hits, False
-        if self.most is not None and k >= self.most:
-            self.over = True
-            return hits, True
+        same[np.minimum(own, n) < THRESHOLD * np.maximum(own, n)] = 0
+        best = int(same.argmax()) if k else 0
+        hit = self.nodes[best] if k and same[best] >= LEAST else None
+        if (hit and same[best] >= ALMOST) or k >= self.most:
+            return hit
         if k == len(self.n):
-            self.sig, self.n, self.extra, self.bits = (np.concatenate([x, np.empty_like(x)]) for x in (self.sig, self.n, self.extra, self.bits))
-        self.sig[k], self.n[k], self.extra[k] = sig, n, extra
-        if bits is not None:
-            self.bits[k] = bits
+            self.sig, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.sig, self.n))
+        self.sig[k], self.n[k] = sig, n
         self.nodes.append(row)
         self.size += 1
-        return hits, False
+        return hit
 
 
 def _central_first(rows: list) -> list:
@@ -202,62 +188,33 @@ def _central_first(rows: list) -> list:
     return [rows[i] for i in np.argsort(-score, kind="stable")]
 
 
-def _pairs(most: int | None, first_pass: bool):
-    """Pairs to verify.
+def _batch(out: list) -> pa.RecordBatch:
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "a_doc", "b", "b_doc"])
 
-    First pass: each node with its likeliest leader only; nodes that have more to compare come out as OPEN.
-    Second pass, over those with the leaders found so far as labels: all pairs of different labels that can
-    still be alike; where a bucket has too many leaders its nodes come out as LATE, for finer buckets.
-    """
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in ROUND.split(", ")]
 
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+def _pair(a, b) -> tuple:
+    return (*a[:2], *b[:2]) if a[0] < b[0] else (*b[:2], *a[:2])
+
+
+def _first(most: int):
+    """First pass: each node with its likeliest leader."""
 
     def run(batches):
         """Rows stream by sorted by bucket and node, BUFFER of a bucket at a time; buckets of one cost nothing."""
         out, key, rows, own = [], None, [], None
 
-        def pair(a, b):
-            out.append((PAIR, a[0], a[1], b[0], b[1], 0, None, None, 0, 0))
-
-        def tell(kind, row):
-            node, doc, n, sig, label, bits = row
-            out.append((kind, node, doc, None, None, n, sig.tobytes(), None if bits is None else bits.tobytes(), key, label))
-
         def work():
             nonlocal own
             if own is None and len(rows) < 2:
                 return
             own = own or _Leaders(most)
-            for row in _central_first(rows) if first_pass else rows:
-                hits, late = own.add(row)
-                if first_pass:
-                    if len(hits):
-                        pair(own.nodes[hits[0]], row)
-                    if len(hits) > 1 or late:
-                        tell(OPEN, row)
-                        own.open.update(hits[1:].tolist())
-                else:
-                    for i in hits.tolist():
-                        if own.nodes[i][4] != row[4]:
-                            pair(own.nodes[i], row)
-                    if late:
-                        tell(LATE, row)
+            for row in _central_first(rows):
+                hit = own.add(row)
+                if hit:
+                    out.append(_pair(hit, row))
             rows.clear()
 
-        def close():
-            work()
-            if own is None:
-                return
-            if first_pass:
-                for i in range(own.size) if own.over else own.open:
-                    tell(OPEN, own.nodes[i])
-            elif own.over:
-                for row in own.nodes:
-                    tell(LATE, row)
-
         for b in batches:
             bucket = b.column("bucket").to_numpy()
             alone = np.ones(len(bucket), bool)
@@ -269,19 +226,107 @@ def _pairs(most: int | None, first_pass: bool):
             few = b.take(pa.array(at)).to_pydict()
             for i, k in enumerate(bucket[at].tolist()):
                 if k != key:
-                    close()
+                    if rows:
+                        work()
                     key, own = k, None
                     rows.clear()
-                bits = few["bits"][i]
-                rows.append((few["node"][i], few["doc_id"][i], few["n"][i], np.frombuffer(few["sig"][i], np.uint16), few["label"][i], None if bits is None else np.frombuffer(bits, _U)))
+                rows.append((few["node"][i], few["doc_id"][i], few["n"][i], np.frombuffer(few["sig"][i], np.uint16)))
                 if len(rows) >= BUFFER:
                     work()
                 if len(out) >= 20_000:
-                    yield batch(out)
+                    yield _batch(out)
                     out.clear()
-        close()
+        if rows:
+            work()
         if out:
-            yield batch(out)
+            yield _batch(out)
+
+    return run
+
+
+def _top(most: int, score: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Places of the `most` highest scores of each key."""
+    order = np.lexsort((-score.astype(np.int64), *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < most]
+
+
+def crossing(n: np.ndarray, sig: np.ndarray, bits: np.ndarray, label: np.ndarray, limit: int | None):
+    """Pairs (i, j) of different labels that may be alike, in pieces; with a limit the likeliest of each i, and of
+    each two labels, only."""
+    m = len(n)
+    sig = np.ascontiguousarray(sig.T)
+    # shingles in common fall on bits in common; at most as many more as share bits among themselves
+    extra = n - np.bitwise_count(bits).sum(1).astype(np.int64)
+    step = max(1, (1 << 22) // max(m, 1))
+    some = []
+    for lo in range(0, m, step):
+        hi, base = min(m, lo + step), 0 if limit else lo
+        ok = label[lo:hi, None] != label[None, base:]
+        if not limit:
+            ok &= np.arange(base, m)[None, :] > np.arange(lo, hi)[:, None]
+        same = np.zeros(ok.shape, np.uint8)
+        for t in range(SKETCHES):
+            same += sig[t, lo:hi, None] == sig[t, None, base:]
+        ok &= same >= LEAST
+        i, j = np.nonzero(ok)
+        score = same[i, j]
+        i, j = i + lo, j + base
+        ok = np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])
+        i, j, score = i[ok], j[ok], score[ok]
+        ok = np.ones(len(i), bool)
+        for k in range(0, len(i), 1 << 14):
+            x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            common = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64) + np.minimum(extra[x], extra[y])
+            ok[k : k + (1 << 14)] = common >= THRESHOLD / (1 + THRESHOLD) * (n[x] + n[y]) - 1e-9
+        i, j, score = i[ok], j[ok], score[ok]
+        if limit and len(i):
+            at = _top(limit, score, i)
+            some.append((i[at], j[at], score[at]))
+        elif len(i):
+            yield i, j
+    if some:
+        i, j, score = (np.concatenate(x) for x in zip(*some, strict=True))
+        at = _top(limit, score, np.minimum(label[i], label[j]), np.maximum(label[i], label[j]))
+        yield i[at], j[at]
+
+
+def _across(limit: int | None):
+    """The pairs of crossing() for each bucket; rows stream by sorted by bucket."""
+
+    def run(batches):
+        out, key, parts = [], None, []
+
+        def close():
+            if not parts:
+                return
+            t = pa.Table.from_batches(parts)
+            parts.clear()
+            node, doc = t.column("node").to_pylist(), t.column("doc_id").to_pylist()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SKETCHES)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), _U).reshape(-1, BITS // 64)
+            for i, j in crossing(t.column("n").to_numpy().astype(np.int64), sig, bits, t.column("label").to_numpy(), limit):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    out.append(_pair((node[x], doc[x]), (node[y], doc[y])))
+                    if len(out) >= 20_000:
+                        yield _batch(out)
+                        out.clear()
+
+        for b in batches:
+            bucket = b.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if bucket[lo] != key:
+                    yield from close()
+                    key = bucket[lo]
+                parts.append(b.slice(lo, hi - lo))
+        yield from close()
+        if out:
+            yield _batch(out)
 
     return run
 
@@ -352,45 +397,48 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
     work = work or Work(spark, "neardup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketched = work.table(sketch(docs), "sketches")
-    facts = [F.first(c).alias(c) for c in ("n", "buckets", "sig")]
-    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts)
-    cols = ["node", "doc_id", "n", "sig", "bits", "label"]
-
-    def dealt(rows: DataFrame, most, first_pass: bool, name: str) -> DataFrame:
-        return work.table(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").transform(T.mapped, _pairs(most, first_pass), ROUND), name)
-
-    plain = nodes.withColumns({"bits": F.lit(None).cast("binary"), "label": F.lit(0).cast("long")})
-    got = dealt(plain.select(*cols, F.explode("buckets").alias("bucket")), FEW, True, "first")
-    pairs = work.table(got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc").distinct(), "pairs1")
-    found = work.table(_found(docs, pairs, threshold), "links1")
-
-    # what the first pass left open: only pairs that do not go to one leader by now
-    still = got.where(F.col("kind") == OPEN).select(F.col("a").alias("node")).distinct()
-    if not still.isEmpty():
-        led = found.groupBy("a").agg(F.count("*").alias("many"))
-        lead = found.join(led, "a").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("many", "a")).alias("m")).select("node", F.col("m.a").alias("to"))
-        bits = sketched.where("n > 0").join(still, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts, F.first("bits").alias("bits"))
-        own = bits.join(lead, "node", "left").withColumn("label", F.xxhash64(F.coalesce("to", "node")))
-        rows, more = own.select(*cols, F.explode("buckets").alias("bucket")), None
-        for k in range(2):
-            got = dealt(rows, None if k else leaders, False, f"second{k}")
-            part = got.where(F.col("kind") == PAIR).select("a", "a_doc", "b", "b_doc")
-            more = part if more is None else more.unionByName(part)
-            late = got.where(F.col("kind") == LATE)
-            if late.isEmpty():
-                break
-            # finer buckets: one for each minimum, together with the bucket so far
-            finer = [F.xxhash64("bucket", F.lit(k), F.lit(t), F.substring("sig", 2 * t + 1, 2)) for t in range(SKETCHES)]
-            late = late.dropDuplicates(["a", "bucket"])
-            rows = late.select(F.col("a").alias("node"), F.col("a_doc").alias("doc_id"), "n", "sig", "bits", "label", F.explode(F.array(*finer)).alias("bucket"))
-        found = found.unionByName(work.table(_found(docs, work.table(more.distinct(), "pairs2"), threshold), "links2"))
+    facts = [F.first(c).alias(c) for c in ("n", "sig")]
+    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts, F.first("buckets").alias("buckets"))
+    nodes = work.table(nodes, "nodes")
+
+    def dealt(rows: DataFrame, kernel, name: str) -> DataFrame:
+        return work.table(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").transform(T.mapped, kernel, ROUND).distinct(), name)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets with more than one label, and how many each has."""
+        rows = rows.select("bucket", "node", "label").repartition(parts, "bucket")
+        many = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+        return rows.join(many.select("bucket", "many"), "bucket")
+
+    def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("label", F.xxhash64(F.coalesce("root", "node"))).drop("root")
+
+    pairs = dealt(nodes.select("node", "doc_id", "n", "sig", F.explode("buckets").alias("bucket")), _first(FEW), "pairs")
+    found = work.table(_found(docs, pairs, threshold), "links")
     roots = work.table(components(found, work, "stars"), "roots")
 
+    # all that stands in a bucket with another class
+    shared = work.table(mixed(named(nodes.select("node", F.explode("buckets").alias("bucket")), roots)), "shared")
+    known = sketched.where("n > 0").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts, F.first("bits").alias("bits"))
+    known = work.table(known, "known")
+    for k, limit in enumerate(LIMITS):
+        shared = work.table(mixed(named(shared.select("bucket", "node"), roots)), f"shared{k}") if k else shared
+        if shared.isEmpty():
+            break
+        more = dealt(shared.select("bucket", "node", "label").join(known, "node"), _across(limit), f"pairs{k}")
+        more = work.table(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"new{k}")
+        if limit and more.isEmpty():
+            continue  # these were tried; the next round goes further
+        links = work.table(_found(docs, more, threshold), f"links{k}")
+        pairs, found = pairs.unionByName(more), found.unionByName(links)
+        if not links.isEmpty():
+            roots = work.table(components(found, work, f"stars{k}-"), f"roots{k}")
+
     # first what each word sequence stands for, so that copies are counted once before anything is joined
     placed = sketched.groupBy("node").agg(F.min("doc_id").alias("own")).join(roots, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     heads = placed.groupBy("root").agg(F.min("own").alias("class_id"))
-    named = placed.join(heads, "root").select("node", "class_id")
-    out = sketched.select("doc_id", "node").join(named, "node")
+    called = placed.join(heads, "root").select("node", "class_id")
+    out = sketched.select("doc_id", "node").join(called, "node")
     return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.nullif("class_id", F.lit(LAST)).alias("class_id"), (F.col("doc_id") == F.col("class_id")).alias("representative"))
 
 

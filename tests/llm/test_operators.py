@@ -241,6 +241,44 @@ def test_near_duplicates(docs, none, rows, monkeypatch):
     assert neardup.classes(none).count() == 0 and neardup.clean(none).count() == 0
 
 
+def _copies_of_copies(n, seed):
+    """(texts, class of each): n copies of copies of one text, one word in each changed twice, and links by brute force."""
+    rng = np.random.default_rng(seed)
+    texts = [[f"w{i}" for i in rng.choice(10**6, 100, replace=False)]]
+    while len(texts) < n:
+        own = list(texts[int(rng.integers(max(0, len(texts) - 400), len(texts)))])
+        for at in rng.choice(100, 2, replace=False):
+            own[at] = f"w{rng.integers(10**6, 10**9)}"
+        texts.append(own)
+    code = {}
+    held = [{code.setdefault(tuple(w[k : k + 5]), len(code)) for k in range(96)} for w in texts]
+    par = list(range(n))
+
+    def find(x):
+        while par[x] != x:
+            par[x] = par[par[x]]
+            x = par[x]
+        return x
+
+    grams = np.zeros((n, len(code)), np.float32)
+    for i, h in enumerate(held):
+        grams[i, list(h)] = 1
+    common = grams @ grams.T
+    size = grams.sum(1)
+    for i, j in zip(*np.nonzero(np.triu(common / (size[:, None] + size[None] - common) >= 0.8, 1)), strict=True):
+        a, b = find(i), find(j)
+        par[max(a, b)] = min(a, b)
+    return [" ".join(w) for w in texts], [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_near_duplicates_of_near_duplicates(spark, seed):
+    texts, want = _copies_of_copies(2000, seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert len(set(want)) < len(want)
+    assert [r["class_id"] for r in neardup.classes(docs).orderBy("doc_id").collect()] == want
+
+
 def test_align_is_longest_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(400):
