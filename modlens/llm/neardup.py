@@ -18,6 +18,9 @@ may be alike are verified; links make classes, and the next round goes over what
 The first rounds take the likeliest pairs of each node and of each two classes, the last takes all,
 so that in the end no candidate pair of two classes is unverified.
 
+A bucket of more than LEADERS nodes is dealt out again into finer buckets, one for each minimum.  A
+candidate pair has LEAST minima in common, so it meets in one of them; nothing is cut off.
+
 Defined results: texts without words are copies only of equal texts; a text of less than
 SHINGLE words is one shingle; a class's id is the smallest doc_id in it (null only if all are);
 repeated rows are in one class; extra columns are ignored.
@@ -37,7 +40,7 @@ from .work import Work
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 16, 3
-FEW, LEADERS, ALMOST, LEAST = 64, 1024, 14, 7
+FEW, LEADERS, ALMOST, LEAST = 64, 8192, 14, 7
 BITS, BUFFER = 2048, 4096
 LAST = (1 << 63) - 1  # stands for a null doc_id, behind all others
 _U = np.uint64
@@ -419,6 +422,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, work: Work | None = N
 
     # all that stands in a bucket with another class
     shared = work.table(mixed(named(nodes.select("node", F.explode("buckets").alias("bucket")), roots)), "shared")
+    large = shared.where(F.col("many") > leaders)
+    if not large.isEmpty():
+        finer = [F.xxhash64("bucket", F.lit(t), F.substring("sig", 2 * t + 1, 2)) for t in range(SKETCHES)]
+        again = large.join(nodes.select("node", "sig"), "node").select("node", "label", F.explode(F.array(*finer)).alias("bucket"))
+        shared = work.table(shared.where(F.col("many") <= leaders).unionByName(mixed(again)), "finer")
     known = sketched.where("n > 0").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *facts, F.first("bits").alias("bits"))
     known = work.table(known, "known")
     for k, limit in enumerate(LIMITS):

@@ -271,12 +271,12 @@ def _copies_of_copies(n, seed):
     return [" ".join(w) for w in texts], [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_near_duplicates_of_near_duplicates(spark, seed):
+@pytest.mark.parametrize(("seed", "leaders", "few"), [(2, neardup.LEADERS, neardup.FEW), (3, 40, 4)])
+def test_near_duplicates_of_near_duplicates(spark, monkeypatch, seed, leaders, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     texts, want = _copies_of_copies(2000, seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert len(set(want)) < len(want)
-    assert [r["class_id"] for r in neardup.classes(docs).orderBy("doc_id").collect()] == want
+    assert [r["class_id"] for r in neardup.classes(docs, leaders=leaders).orderBy("doc_id").collect()] == want
 
 
 def test_align_is_longest_common_subsequence():
