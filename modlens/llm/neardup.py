@@ -40,7 +40,7 @@ from .work import Work
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 16, 3
-FEW, LEADERS, ALMOST, LEAST = 64, 8192, 14, 7
+FEW, LEADERS, ALMOST, LEAST = 64, 8192, 14, 5
 BITS, BUFFER = 2048, 4096
 LAST = (1 << 63) - 1  # stands for a null doc_id, behind all others
 _U = np.uint64

@@ -271,7 +271,7 @@ def _copies_of_copies(n, seed):
     return [" ".join(w) for w in texts], [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize(("seed", "leaders", "few"), [(2, neardup.LEADERS, neardup.FEW), (3, 40, 4)])
+@pytest.mark.parametrize(("seed", "leaders", "few"), [(2, neardup.LEADERS, neardup.FEW), (3, 40, 4), (1, neardup.LEADERS, neardup.FEW)])
 def test_near_duplicates_of_near_duplicates(spark, monkeypatch, seed, leaders, few):
     monkeypatch.setattr(neardup, "FEW", few)
     texts, want = _copies_of_copies(2000, seed)
