@@ -123,6 +123,25 @@ def cycles(edges: list[tuple[str, str]]) -> list[list[str]]:
     return [list(c) for c in sorted(found)]
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Names on a cycle of a graph in which each node leads to one other at most, of any size.
+
+    Each round drops the sources without a way in, then doubles the length of the steps, so that a tail of
+    any length is gone after as many rounds as its length has binary digits.  When every source has a way
+    in, the steps are one to one, and all that is left lies on cycles.
+    """
+    step = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    n = step.count()
+    if step.select("src").distinct().count() != n:
+        raise ValueError("a node leads to more than one other")
+    while True:
+        kept = cut(step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        if kept.count() == n:
+            return kept.select(F.col("src").alias("name"))
+        step = cut(kept.withColumnRenamed("dst", "via").join(kept.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst"))
+        n = step.count()
+
+
 def dot(graph: Graph) -> str:
     """Graphviz."""
     quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'

@@ -447,7 +447,6 @@ w AS (SELECT a AS start, b AS cur, 1 AS len FROM e UNION ALL SELECT start, b, le
 SELECT 'doc:' || start AS name FROM w WHERE cur = start""")
 def graph_cycles(spark, folder):
     _, edges = corpus.cyclic_graph(spark, folder)
-    rings = graph.cycles([(r["src"], r["dst"]) for r in edges.select("src", "dst").limit(200_000).collect()])  # a neighbourhood's size is bounded by max_nodes; here all fit
-    return spark.createDataFrame([(n,) for ring in rings for n in ring[1:]], "name string").distinct()
+    return graph.on_cycles(edges)
 
 

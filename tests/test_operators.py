@@ -237,6 +237,24 @@ def test_counts_keep_repeats(spark):
     assert got == {"A": (2, 0), "B": (0, 1)}
 
 
+def test_cycles_of_any_size(spark, tmp_path):
+    from modlens.plans import catalogue
+
+    ring = lambda tag, n: [(f"{tag}{i}", f"{tag}{(i + 1) % n}") for i in range(n)]
+    tail = [(f"t{i}", f"t{i + 1}") for i in range(40)] + [("t40", "b0")] + [(f"l{i}", "t0") for i in range(30)]
+    edges = ring("a", 1) + ring("b", 3) + ring("c", 250) + tail + [("x", "y"), ("y", "none")]
+    want = sorted({n for c in graph.cycles(edges) for n in c})
+    assert len(want) == 254
+    df = spark.createDataFrame([*edges, edges[0]], "src string, dst string")
+    assert sorted(r["name"] for r in graph.on_cycles(df).collect()) == want
+    assert graph.on_cycles(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        graph.on_cycles(spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string"))
+    # 7 and the row count have no common factor, so every document is on a ring
+    spark.range(200_010).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.QUERIES["graph_cycles"](spark, str(tmp_path)).distinct().count() == 200_010
+
+
 def test_cycles_and_renderers(spark):
     assert graph.cycles([("A", "B"), ("B", "C"), ("C", "A")]) == [["A", "B", "C", "A"]]
     assert graph.cycles([("b", "a"), ("a", "a"), ("a", "b")]) == [["a", "a"], ["a", "b", "a"]]
