@@ -63,20 +63,27 @@ def held_out(folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0)) == 0
 
 
-def sample(rows: DataFrame, label: str, per_label: int, max_chars: int, docs: DataFrame | None = None) -> list:
-    """About per_label rows of each label, chosen by a hash of doc_id, and the first max_chars of their
-    texts: what a classifier is fitted on is bounded by these two parameters.
+def picked(rows: DataFrame, label: str, per_label: int, docs: DataFrame | None = None) -> DataFrame | None:
+    """doc_id, whole text and label of about per_label rows of each label, chosen by a hash of doc_id; None if
+    there are none.
 
     Where the labels come from another table, rows has doc_id and label, and docs the texts: the ids are
     chosen first, and only the chosen texts move.
     """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(u < share[F.col(label)])
+    out = rows.where(u < share[F.col(label)])
     if docs is not None:
-        few = picked.select("doc_id", label).toArrow()  # per_label ids of each label
-        picked = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(few)), "doc_id")
-    return picked.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text"), label).orderBy("doc_id", "text").collect()
+        few = out.select("doc_id", label).toArrow()  # per_label ids of each label
+        out = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(few)), "doc_id")
+    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), label)
+
+
+def sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
+    """The rows of picked() with the first max_chars of their texts: what a classifier is fitted on is bounded by
+    these two parameters."""
+    got = picked(rows, label, per_label)
+    return [] if got is None else got.withColumn("text", F.substring("text", 1, max_chars)).orderBy("doc_id", "text").collect()

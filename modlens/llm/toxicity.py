@@ -27,7 +27,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 DIM = 2
 GAIN = 5.0
-PER_LABEL, SAMPLE_CHARS = 1500, 12_000
+PER_LABEL = 1500
 MIN_SHARE, MAX_SHARE = 0.005, 0.4
 STEPS, RATE, DECAY = 60, 2.0, 1e-2
 
@@ -178,15 +178,30 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int
     return Model(used, table @ (soft[:, 1] - soft[:, 0]), scale, float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS, label: str = "toxic") -> Model:
-    """Fits on at most about per_label rows of each label that are not held out."""
+BAG = "doc_id long, label int, place long, row array<int>, count array<float>"
+
+
+def _bags(batches):
+    for b in batches:
+        bags = [_bag_of(t) for t in b.column("text").to_pylist()]
+        row, count = pa.array([r for r, _ in bags], pa.list_(pa.int32())), pa.array([c for _, c in bags], pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int32()), b.column("place"), row, count], ["doc_id", "label", "place", "row", "count"])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, label: str = "toxic") -> Model:
+    """Fits on at most about per_label rows of each label that are not held out, with their whole texts: executors
+    turn each into its bag, of BUCKETS numbers at most, so no text reaches the driver."""
     own = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     rows = docs.select("doc_id").where(~chars.held_out()).distinct().join(own, "doc_id")
-    got = chars.sample(rows, "label", per_label, sample_chars, docs)
     share = rows.agg(F.avg("label").alias("p")).first()["p"]
-    y, bags = [r["label"] for r in got], [_bag_of(r["text"]) for r in got]
-    del got  # the texts are not needed any more
-    T.release()
+    T.small_batches(docs.sparkSession)
+    chosen = chars.picked(rows, "label", per_label, docs)
+    if chosen is None:
+        return calibrated([], [], 0.5)
+    got = chosen.withColumn("place", F.xxhash64("text")).transform(T.mapped, _bags, BAG).orderBy("doc_id", "place").toArrow()
+    y, bags = got.column("label").to_pylist(), []
+    for rows_, counts in zip(got.column("row").chunks, got.column("count").chunks, strict=True):
+        bags += [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(rows_, counts, strict=True)]
     return calibrated(bags, y, share or 0.5)
 
 

@@ -313,6 +313,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.train(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(1)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    ends = [["mnrtp", "oklsi", "tunop", "lmkro"], ["zzyzx", "qwvuy", "xqvzw", "wyuqz"]]
+    # only the end of a long text tells what it is
+    docs = spark.createDataFrame([(i, make(2500) + f" {ends[i % 2][i // 2 % 4]}" * 60) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert min(len(r["text"]) for r in docs.collect()) > 12_000
+    model = toxicity.train(docs, labels)
+    bad, good = model.scores([" ".join(x) for x in ends[::-1]])
+    assert bad > 0.5 > good
+
+
 # --- 6 WARC
 
 
