@@ -9,7 +9,7 @@ the documents are never shuffled.
 
 Defined results: a null or wordless text has no words, hits or items; a repeated document
 row gets one result row each; an item without words is never found; equal items are all
-reported; extra columns of either table are ignored.
+reported; an item without item_id is left out; extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest verbatim match."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest run of hit words, of whatever items."""
     m = matches(docs, benchmark, **options)
     spans = "transform(sequence(0, cast(size(hit_runs) / 2 as int) - 1), i -> hit_runs[2 * i + 1] - hit_runs[2 * i])"
     return m.select("doc_id", "n_words", F.expr(f"if(size(hit_runs) = 0, cast(array() as array<bigint>), {spans})").alias("lens"), "items").select(
