@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from . import regexes
+
 RESULT = "lines_added int, lines_removed int, similarity double, noise_only boolean, hunks string, hunks_omitted string"
 TRUNCATED = "\n… [truncated: exceeded maxHunkBytes]\n"
 
@@ -16,43 +19,59 @@ def split_keep(text: str) -> list[str]:
     return re.findall(r"[^\n]*\n|[^\n]+", text)
 
 
-def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as pairs of places: Myers' greedy search, after cutting equal ends."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    n, m = len(x), len(y)
-    far, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(far))
-        for k in range(-d, d + 1, 2):
-            i = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            far[k] = i
-            if i >= n and i - k >= m:
-                break
-        else:
+def _prefix_lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of x with each prefix of y, by bit-parallel rows of one integer."""
+    where: dict[int, int] = {}
+    for j, w in enumerate(y):
+        where[w] = where.get(w, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    v = full
+    for w in x:
+        if m := where.get(w):
+            u = v & m
+            v = (v + u | v - u) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _common(x: list[int], y: list[int], i: int, j: int, out: list[tuple[int, int]]) -> None:
+    """Divide and conquer: memory follows the number of lines."""
+    todo = [(x, y, i, j)]
+    while todo:
+        x, y, i, j = todo.pop()
+        head = 0
+        while head < min(len(x), len(y)) and x[head] == y[head]:
+            head += 1
+        out += [(i + t, j + t) for t in range(head)]
+        x, y, i, j = x[head:], y[head:], i + head, j + head
+        tail = 0
+        while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        out += [(i + len(x) - t, j + len(y) - t) for t in range(1, tail + 1)]
+        x, y = x[: len(x) - tail], y[: len(y) - tail]
+        if not x or not y:
+            continue
+        if len(x) == 1 or len(y) == 1:
+            one, many = (x[0], y) if len(x) == 1 else (y[0], x)
+            if one in many:
+                k = many.index(one)
+                out.append((i, j + k) if len(x) == 1 else (i + k, j))
             continue
-        break
-    pairs, i, j = [], n, m
-    for d in range(len(trace) - 1, -1, -1):
-        far, k = trace[d], i - j
-        up = k == -d or (k != d and far[k - 1] < far[k + 1])
-        k0 = k + 1 if up else k - 1
-        i0 = far[k0]
-        j0 = i0 - k0
-        while i > i0 and j > j0 and i > 0 and j > 0 and (d == 0 or i > (i0 if up else i0 + 1)):
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        if d:
-            i, j = i0, j0
-    pairs.reverse()
-    return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in pairs] + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
+        mid = len(x) // 2
+        sums = _prefix_lengths(x[:mid], y) + _prefix_lengths(x[mid:][::-1], y[::-1])[::-1]
+        k = int(sums.argmax())
+        todo += [(x[:mid], y[:k], i, j), (x[mid:], y[k:], i + mid, j + k)]
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places.  Lines that stand on one side only take no part."""
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(t, len(number)) for t in side] for side in (a, b))
+    both = set(x) & set(y)
+    at_x, at_y = ([k for k, w in enumerate(side) if w in both] for side in (x, y))
+    pairs: list[tuple[int, int]] = []
+    _common([x[k] for k in at_x], [y[k] for k in at_y], 0, 0, pairs)
+    return sorted((at_x[i], at_y[j]) for i, j in pairs)
 
 
 def hunks(a: list[str], b: list[str], pairs: list[tuple[int, int]], context: int) -> str:
@@ -78,8 +97,8 @@ def hunks(a: list[str], b: list[str], pairs: list[tuple[int, int]], context: int
     return "".join(out)
 
 
-def compare(old: str, new: str, noise: re.Pattern | None, context: int = 3, most_bytes: int = 64 << 10):
-    """(added, removed, similarity, noise_only, hunks, hunks_omitted)."""
+def compare(old: str, new: str, noise: re.Pattern | None, context: int | None = 3, most_bytes: int = 64 << 10):
+    """(added, removed, similarity, noise_only, hunks, hunks_omitted); no hunks where context is None."""
     a, b = split_keep(old), split_keep(new)
     pairs = matched(a, b)
     in_a, in_b = {i for i, _ in pairs}, {j for _, j in pairs}
@@ -87,15 +106,15 @@ def compare(old: str, new: str, noise: re.Pattern | None, context: int = 3, most
     signal = sum(not (noise and noise.search(x.rstrip())) for x in gone + come)
     ratio = 2 * len(pairs) / (len(a) + len(b)) if a or b else 1.0
     text = omitted = None
-    if signal:
+    if signal and context is not None:
         text = hunks(a, b, pairs, context)
         if len(text.encode()) > most_bytes:
             text, omitted = text.encode()[:most_bytes].decode(errors="ignore") + TRUNCATED, "truncated to maxHunkBytes"
     return len(come), len(gone), ratio, signal == 0, text, omitted
 
 
-def line_diff(old: Column, new: Column, noise_code: list[str], context: int = 3, most_bytes: int = 64 << 10) -> Column:
-    noise = re.compile("|".join(f"(?:{p})" for p in noise_code)) if noise_code else None
+def line_diff(old: Column, new: Column, noise_code: list[str], context: int | None = 3, most_bytes: int = 64 << 10) -> Column:
+    noise = re.compile("|".join(f"(?:{regexes.to_python(p)})" for p in noise_code)) if noise_code else None
 
     @F.pandas_udf(RESULT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -46,12 +46,47 @@ def to_java(pattern: str) -> str:
     return ("(?U)" if unicode_ else "") + "".join(out)
 
 
+def to_python(pattern: str) -> str:
+    """The same dialect for Python's engine, which takes flags in the middle only around a group: (?i) holds up to
+    the end of the group that it stands in, through later alternatives."""
+    out, i, in_class, groups = [], 0, False, [False]  # for each open group whether (?i) holds in it
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            out.append("\\Z" if pattern[i + 1] == "z" and not in_class else pattern[i : i + 2])
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+            out.append(c)
+        elif pattern.startswith("(?i)", i):
+            out.append("" if groups[-1] else "(?i:")
+            groups[-1] = True
+            i += 4
+            continue
+        elif c == "[":
+            in_class = True
+            out.append(c)
+        elif c == "(":
+            groups.append(False)
+            out.append(c)
+        elif c == ")":
+            out.append("))" if groups.pop() else ")")
+        elif c == "|" and groups[-1]:
+            out.append(")|(?i:")
+        else:
+            out.append("\\Z" if c == "$" else c)
+        i += 1
+    return "".join(out) + ")" * sum(groups)
+
+
 def compiled(pattern: str, field: str = "pattern", owner: str = "") -> str:
     """The pattern for rlike; raises BadPattern with the field's name."""
     try:
-        re.compile(pattern.replace("(?i)", ""))  # elsewhere than in front it holds from there on
+        re.compile(pattern.replace("(?i)", ""))
+        re.compile(to_python(pattern))
         return to_java(pattern)
-    except (re.error, BadPattern) as e:
+    except (re.error, IndexError, BadPattern) as e:
         raise BadPattern(f"{field}{f' of {owner}' if owner else ''}: {e}") from e
 
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder that the session names and reads it again.
-
-    A table rather than an RDD checkpoint: its size is known to the planner, so a small frontier is
-    broadcast below Spark's own limit and a large one is joined by sorting.  Only on one machine, with no
-    folder set, a temporary one is taken.
-    """
-    spark = df.sparkSession
+def folder_of(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only on one machine, with none set, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='modlens-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder and reads it again.
+
+    A table rather than an RDD checkpoint: its size is known to the planner, so a small frontier is
+    broadcast below Spark's own limit and a large one is joined by sorting.
+    """
+    path = f"{folder_of(df.sparkSession)}/levels-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

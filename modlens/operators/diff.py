@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import regexes
@@ -44,13 +46,21 @@ def metadata(kinds_: DataFrame, spec: dict) -> DataFrame:
 def changes(old: DataFrame, new: DataFrame, old_sources: DataFrame, new_sources: DataFrame, spec: dict,
             max_diff_bytes: int = 1 << 20, context: int = 3, max_hunk_bytes: int = 64 << 10) -> DataFrame:
     """All changes.  Texts are compared only for modified records that are small enough on both sides; the
-    larger ones take another branch, so the Python function never sees them."""
-    meta = metadata(kinds(old, new, spec), spec)
-    large = F.greatest("old_stored_len", "new_stored_len") > max_diff_bytes
+    larger ones take another branch, so the Python function never sees them.  A modified record without a stored
+    text is an error that names it; one of unknown length counts as small."""
+    return compared(kinds(old, new, spec), old_sources, new_sources, spec, max_diff_bytes, context, max_hunk_bytes)
+
+
+def compared(kinds_: DataFrame, old_sources: DataFrame, new_sources: DataFrame, spec: dict,
+             max_diff_bytes: int = 1 << 20, context: int = 3, max_hunk_bytes: int = 64 << 10) -> DataFrame:
+    """changes() of kinds() worked out before; context None leaves the hunks out."""
+    meta = metadata(kinds_, spec)
+    large = F.coalesce(F.greatest("old_stored_len", "new_stored_len"), F.lit(0)) > max_diff_bytes
     modified = meta.where("kind = 'modified'")
     text = lambda s, m: s.select("name", F.col("sha256").alias(f"{m}_raw_sha256"), F.col("text").alias(f"{m}_text"))
-    small = modified.where(~large).join(text(old_sources, "old"), ["name", "old_raw_sha256"]).join(text(new_sources, "new"), ["name", "new_raw_sha256"])
-    d = line_diff(F.col("old_text"), F.col("new_text"), spec["noiseCode"], context, max_hunk_bytes)
+    small = modified.where(~large).join(text(old_sources, "old"), ["name", "old_raw_sha256"], "left").join(text(new_sources, "new"), ["name", "new_raw_sha256"], "left")
+    there = lambda m: F.coalesce(f"{m}_text", F.raise_error(F.concat(F.lit(f"no {m} text is stored for "), "name")))
+    d = line_diff(there("old"), there("new"), spec["noiseCode"], context, max_hunk_bytes)
     cols = ["name", "kind", "deps_added", "deps_removed", "exports_added", "exports_removed", "deps_noise_only"]
     told = ["lines_added", "lines_removed", "similarity", "noise_only", "hunks", "hunks_omitted"]
     same = (F.col("old_raw_sha256") == F.col("new_raw_sha256")).alias("variant_only")
@@ -67,15 +77,33 @@ def listed(changes_: DataFrame, include_noise: bool = False, limit: int | None =
     return out.orderBy("name").limit(limit) if limit is not None else out.orderBy("name")
 
 
-def summary(kinds_: DataFrame, changes_: DataFrame | None = None) -> DataFrame:
-    """One row of counters."""
+@dataclass
+class Page:
+    """The first changes of a list, and whether they are all."""
+
+    changes: DataFrame
+    total: int
+    truncated: bool
+
+
+def page(changes_: DataFrame, include_noise: bool = False, limit: int | None = None) -> Page:
+    """listed() that tells how many changes there are and whether the list was cut."""
+    total = listed(changes_, include_noise).count()
+    return Page(listed(changes_, include_noise, limit), total, limit is not None and total > limit)
+
+
+def summary(kinds_: DataFrame, changes_: DataFrame | None = None, old: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
+    """One row of counters; with the records of both sides also how many there are before the filter."""
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
     out = kinds_.agg(n("added"), n("removed"), n("modified"), n("unchanged"), F.count_if(F.col("kind") != "added").alias("old_kept"), F.count_if(F.col("kind") != "removed").alias("new_kept"))
-    if changes_ is not None:
-        out = out.crossJoin(changes_.agg(F.count_if("noise_only").alias("noise_only"), F.count_if(F.col("lines_added").isNull() & (F.col("kind") == "modified")).alias("diffs_skipped")))  # one row each
+    more = [] if changes_ is None else [changes_.agg(F.count_if("noise_only").alias("noise_only"), F.count_if(F.col("lines_added").isNull() & (F.col("kind") == "modified")).alias("diffs_skipped"))]
+    more += [df.agg(F.count("*").alias(c)) for df, c in ((old, "old_total"), (new, "new_total")) if df is not None]
+    for one in more:
+        out = out.crossJoin(one)  # one row each
     return out
 
 
-def grouped(changes_: DataFrame, key) -> DataFrame:
-    """Changes by a key: how many and which, by kind."""
-    return changes_.groupBy(key.alias("key"), "kind").agg(F.count("*").alias("n"))
+def grouped(changes_: DataFrame, key, names: bool = False) -> DataFrame:
+    """Changes by a key and kind: how many, and with names which, in order."""
+    told = [F.count("*").alias("n")] + [F.array_sort(F.collect_list("name")).alias("names")] * names
+    return changes_.groupBy(key.alias("key"), "kind").agg(*told)

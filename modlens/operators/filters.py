@@ -67,20 +67,23 @@ def apply(records: DataFrame, spec: dict, edges: DataFrame | None = None) -> Dat
     own = cut(own)
     free = own.where("verdict = 'keep' and reason <> 'include'").select(F.col("name").alias("src"))
     links = cut(edges.select("src", "dst").join(free, "src", "left_semi"))  # only these can still change
-    frontier = own.where("verdict = 'drop'").select("name", F.array("name").alias("path"))
-    reached = None
+    frontier = own.where("verdict = 'drop'").select("name", F.col("name").alias("place"))
+    levels = []
     while True:
-        found = links.join(frontier.select(F.col("name").alias("dst"), "path"), "dst").groupBy(F.col("src").alias("name")).agg(F.min("path").alias("path"))
-        if reached is not None:
-            found = found.join(reached, "name", "left_anti")
-        new = cut(found.select("name", F.element_at("path", -1).alias("module"), F.concat("path", F.array("name")).alias("path")))
+        found = links.join(frontier.select(F.col("name").alias("dst"), "place"), "dst").groupBy(F.col("src").alias("name")).agg(F.min(F.struct("place", "dst")).alias("from"))
+        for seen in levels:
+            found = found.join(seen.select("name"), "name", "left_anti")
+        # the path grows by one name a level; U+0001 parts names and is below all that stands in them
+        new = cut(found.select("name", F.col("from.dst").alias("module"), F.concat("from.place", F.lit("\u0001"), "name").alias("place")))
         if new.isEmpty():
             break
-        step = new.select("name", "module")
-        reached = step if reached is None else cut(reached.unionByName(step))
-        frontier = new.select("name", "path")
-    if reached is None:
+        levels.append(new.select("name", "module"))
+        if len(levels) > SEPARATE:
+            levels = [cut(union(levels))]
+        frontier = new.select("name", "place")
+    if not levels:
         return own
+    reached = union(levels)
     late = reached.select("name", F.col("module").alias("_module"))
     return own.join(late, "name", "left").select(
         "name", F.when(F.col("_module").isNotNull(), "drop").otherwise(F.col("verdict")).alias("verdict"),
@@ -89,6 +92,16 @@ def apply(records: DataFrame, spec: dict, edges: DataFrame | None = None) -> Dat
     )
 
 
+SEPARATE = 8  # so many tables of reached names are joined one by one, then they are written as one
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def kept(records: DataFrame, spec: dict) -> DataFrame:
     """Names that the filter keeps, propagation included."""
     if not spec["excludeDependentsOfExcluded"]:

@@ -10,12 +10,16 @@ from ..functions.scratch import cut
 from . import filters as _filters
 
 
+SEPARATE = 8  # so many tables of visited nodes are joined one by one, then they are written as one
+
+
 @dataclass
 class Graph:
     nodes: DataFrame
     edges: DataFrame
     missing: DataFrame
     truncated: bool
+    cycles: list[list[str]] | None = None
 
 
 def roots_of(records: DataFrame, names: list[str] = (), pattern: str | None = None) -> DataFrame:
@@ -30,7 +34,10 @@ def roots_of(records: DataFrame, names: list[str] = (), pattern: str | None = No
         out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError("roots are needed")
-    return out.distinct()
+    out = out.distinct()
+    if not names and out.isEmpty():
+        raise ValueError(f"no record's name matches {pattern!r}")
+    return out
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -55,18 +62,23 @@ def neighbourhood(records: DataFrame, edges: DataFrame, roots: DataFrame, direct
     lead = steps(edges, direction)
     if not external:
         lead = lead.join(defined.select(F.col("name").alias("other")), "other", "left_semi")
-    first = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.col("name").alias("s")))
-    frontier = cut(roots.select("name", first.alias("path")))
-    visited = frontier.select("name", F.lit(0).alias("depth"))
-    found_edges, truncated, level = None, False, 0
-    n = visited.count() if max_nodes is not None else 0
+    lead = cut(lead)  # what the tables behind the edges cost is paid once, not for each level
+    capped = max_nodes is not None
+    path = [F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.col("name").alias("s"))).alias("path")] * capped
+    longer = [F.concat("path", F.array("pos")).alias("path")] * capped  # the order matters under a cap only
+    frontier = cut(roots.select("name", *path))
+    levels, passed = [frontier.select("name", F.lit(0).alias("depth"))], []
+    truncated, level = False, 0
+    n = frontier.count() if capped else 0
     while depth == 0 or level < depth:
         level += 1
-        out = cut(frontier.withColumnRenamed("name", "at").join(lead, "at").select("other", F.concat("path", F.array("pos")).alias("path"), "src", "dst"))
-        pair = out.select("src", "dst").distinct()
-        found_edges = pair if found_edges is None else found_edges.unionByName(pair)
-        new = out.groupBy(F.col("other").alias("name")).agg(F.min("path").alias("path")).join(visited, "name", "left_anti")
-        if max_nodes is not None:
+        out = cut(frontier.withColumnRenamed("name", "at").join(lead, "at").select("other", "src", "dst", *longer))
+        passed.append(out.select("src", "dst"))
+        new = out.select(F.col("other").alias("name"), *["path"] * capped)
+        new = new.groupBy("name").agg(F.min("path").alias("path")) if capped else new.distinct()
+        for seen in levels:  # tables of their own: nothing that was visited is written again
+            new = new.join(seen.select("name"), "name", "left_anti")
+        if capped:
             room = max(max_nodes - n, 0)
             some = cut(new.orderBy("path").limit(room + 1))  # one more tells that some are left out
             m = some.count()
@@ -76,24 +88,49 @@ def neighbourhood(records: DataFrame, edges: DataFrame, roots: DataFrame, direct
             if m == 0 or room == 0:
                 break
         new = cut(new)
-        if max_nodes is None and new.isEmpty():
+        if not capped and new.isEmpty():
             break
-        visited = cut(visited.unionByName(new.select("name", F.lit(level).alias("depth"))))
+        levels.append(new.select("name", F.lit(level).alias("depth")))
+        if len(levels) > SEPARATE:
+            levels = [cut(_union(levels))]
         frontier = new
+    visited = _union(levels)
     kept = visited.select("name")
-    if found_edges is None:
-        found_edges = edges.select("src", "dst").limit(0)
-    edge = found_edges.distinct().join(kept.withColumnRenamed("name", "src"), "src", "left_semi").join(kept.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst")
-    count = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("dependent_count"))
-    facts = records.select("name", F.lit(True).alias("present"), F.size("deps").alias("dep_count")).join(count, "name", "left")
+    found_edges = _union(passed).distinct() if passed else edges.select("src", "dst").limit(0)
+    edge = found_edges
+    if truncated:  # only then there are edges to nodes that were not admitted
+        edge = edge.join(kept.withColumnRenamed("name", "src"), "src", "left_semi").join(kept.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst")
+    into = edges.select("src", "dst").join(kept.withColumnRenamed("name", "dst"), "dst", "left_semi").distinct()  # only those of the nodes found
+    count = into.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("dependent_count"))
+    file = [F.col("file") if "file" in records.columns else F.lit(None).cast("string").alias("file")]
+    facts = records.select("name", F.lit(True).alias("present"), F.size("deps").alias("dep_count"), *file).join(kept, "name", "left_semi").join(count, "name", "left")
     nodes = visited.join(facts, "name", "left").select(
         "name", "depth", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("dep_count", F.lit(0)).alias("dep_count"),
         F.when(F.col("present"), F.coalesce("dependent_count", F.lit(0))).otherwise(F.lit(0)).alias("dependent_count"),
-        (_filters.verdict(F.col("name"), spec) if spec else F.lit(True)).alias("in_filter"),
+        (_filters.verdict(F.col("name"), spec) if spec else F.lit(True)).alias("in_filter"), "file",
     )
     return Graph(nodes, edge, missing, truncated)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def graph(records: DataFrame, edges: DataFrame | None = None, names: list[str] = (), pattern: str | None = None, detect_cycles: bool = False, **options) -> Graph:
+    """Roots, neighbourhood and, where asked for, the cycles within it; cycles need a bound on its nodes."""
+    if edges is None:
+        edges = records.select(F.col("name").alias("src"), F.posexplode("deps").alias("pos", "dst"))
+    if detect_cycles and options.get("max_nodes", 2000) is None:
+        raise ValueError("cycles are looked for on the driver: max_nodes has to bound the graph (on_cycles() has no bound)")
+    out = neighbourhood(records, edges, roots_of(records, names, pattern), **options)
+    if detect_cycles:
+        out.cycles = cycles([(r["src"], r["dst"]) for r in out.edges.collect()])
+    return out
+
+
 def cycles(edges: list[tuple[str, str]]) -> list[list[str]]:
     """One cycle for each back edge of a depth-first search in name order, turned so that the smallest name is
     first, which also ends it.  For neighbourhoods, whose size max_nodes bounds."""

@@ -52,6 +52,20 @@ def dependents(primary: DataFrame) -> DataFrame:
     return e.join(primary.select(F.col("name").alias("dst")), "dst").groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
 
 
+def dependent_edges(primary: DataFrame, reverse: DataFrame | None = None) -> DataFrame:
+    """dst and src, each pair once, of dependencies that are defined: dependents() without gathering those of one
+    name in a row, for names that a large part of all records depend on."""
+    e = (edges(primary) if reverse is None else reverse).select("src", "dst").distinct()
+    return e.join(primary.select(F.col("name").alias("dst")), "dst", "left_semi").select("dst", "src")
+
+
+def dependent_counts(primary: DataFrame, reverse: DataFrame | None = None) -> DataFrame:
+    """name, n, first and last of the dependents of each name, counted where they lie."""
+    e = (edges(primary) if reverse is None else reverse).select("src", "dst").distinct()
+    own = e.join(primary.select(F.col("name").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n"), F.min("src").alias("first"), F.max("src").alias("last"))
+    return own.join(primary.select("name"), "name", "left_semi")
+
+
 def unresolved(primary: DataFrame) -> DataFrame:
     """Distinct dependencies that no record defines."""
     return edges(primary).select(F.col("dst").alias("name")).distinct().join(primary.select("name"), "name", "left_anti")
@@ -105,6 +119,21 @@ def build(definitions: DataFrame) -> DataFrame:
     )
 
 
+def fingerprints(definitions: DataFrame) -> DataFrame:
+    """name and fingerprint straight from the definitions: nothing but names and hashes moves."""
+    return definitions.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("raw_sha256")), "+").alias("fingerprint"))
+
+
+def variant_counts(distinct: DataFrame) -> DataFrame:
+    """name and how many definitions it has, of names with more than one."""
+    return distinct.groupBy("name").agg(F.count("*").alias("definitions")).where("definitions > 1")
+
+
+def has_variants(records: DataFrame):
+    """The records of build() with a second definition."""
+    return records.where(F.size("variants") > 0)
+
+
 def with_fingerprint(records: DataFrame) -> DataFrame:
     return records.withColumn("fingerprint", fingerprint(F.col("raw_sha256"), F.transform("variants", lambda v: v.sha256)))
 
@@ -119,5 +148,7 @@ def diagnostics(definitions: DataFrame, chunks: DataFrame | None = None) -> Data
     )
     out = counts.crossJoin(unresolved(primary).agg(F.count("*").alias("unresolved_total"))).crossJoin(file_names(primary).agg(F.count_if("renamed").alias("renamed_files")))  # one row each
     if chunks is not None:
-        out = out.crossJoin(chunks.agg(F.count_if(~F.col("skipped")).alias("chunks_read"), F.count_if("skipped").alias("chunks_skipped"), F.count_if("failed").alias("chunk_parse_failures")))
+        told = [F.count_if(~F.col("skipped")).alias("chunks_read"), F.count_if("skipped").alias("chunks_skipped"), F.count_if("failed").alias("chunk_parse_failures")]
+        told += [F.coalesce(F.sum("nameless"), F.lit(0)).alias("nameless_calls")] * ("nameless" in chunks.columns)
+        out = out.crossJoin(chunks.agg(*told))
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
+from ..functions.scratch import cut
 from ..operators import diff, filters, graph, index, search
 from ..sources import catalog, corpus
 
@@ -78,13 +79,13 @@ def index_variant_dep_delta(spark, folder):
 
 @query(f"WITH {_DEFS} SELECT name, string_agg(sha, '+' ORDER BY sha) AS fingerprint FROM u GROUP BY name")
 def index_fingerprint(spark, folder):
-    return index.with_fingerprint(index.build(corpus.definitions(spark, folder))).select("name", "fingerprint")
+    return index.fingerprints(corpus.definitions(spark, folder))
 
 
 @query(f"WITH {_ENT} SELECT dst AS name, count(DISTINCT src)::BIGINT AS n, min(src) AS first, max(src) AS last FROM e WHERE dst IN (SELECT name FROM v) AND src IN (SELECT name FROM v) GROUP BY dst")
 def index_dependents(spark, folder):
-    d = index.dependents(corpus.entity_graph(spark, folder)[0])
-    return d.select("name", F.size("dependents").cast("long").alias("n"), F.get("dependents", F.lit(0)).alias("first"), F.element_at("dependents", -1).alias("last"))
+    names, edges = corpus.entity_names(spark, folder), corpus.entity_edges(spark, folder)
+    return index.dependent_counts(names, edges)
 
 
 @query("""SELECT DISTINCT h AS name FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)""")
@@ -309,7 +310,9 @@ def diff_kind(spark, folder):
 count(*) FILTER (WHERE kind = 'unchanged')::BIGINT AS unchanged, count(*) FILTER (WHERE kind <> 'added')::BIGINT AS old_kept, count(*) FILTER (WHERE kind <> 'removed')::BIGINT AS new_kept,
 count(*) FILTER (WHERE kind = 'modified' AND (doc_id % 14 = 0 OR doc_id % 7 <> 0))::BIGINT AS noise_only, 0::BIGINT AS diffs_skipped FROM k""")
 def diff_summary(spark, folder):
-    return diff.summary(_kinds(spark, folder), _changes(spark, folder))
+    (_, old_text), (_, new_text) = corpus.revisions(spark, folder)
+    kinds = cut(_kinds(spark, folder))
+    return diff.summary(kinds, diff.compared(kinds, old_text, new_text, NOTHING, context=None))
 
 
 _DELTA = "list_sort(list_distinct(list_filter({a}, lambda x: NOT list_contains({b}, x))))"

@@ -59,8 +59,13 @@ def latest_pairs(bundles: DataFrame) -> DataFrame:
     return two.groupBy("platform").agg(F.min("revision").alias("older"), F.max("revision").alias("newer"), F.count("*").alias("n")).where("n = 2").drop("n")
 
 
+def archive_urls(bundles: DataFrame, base: str) -> DataFrame:
+    """bundle and the address of its archive below `base`, by revision, then platform: where a record came from."""
+    return listed(bundles).select("bundle", F.format_string("%s/%d/%s", F.lit(base.rstrip("/")), "revision", "platform").alias("url"))
+
+
 class Store:
-    """Tables in a folder: modules, sources and bundles, each partitioned by bundle; filters as JSON files."""
+    """Tables in a folder: modules, sources, bundles and where asked for chunks, each partitioned by bundle."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -119,6 +124,7 @@ class Store:
         if self.has(bundle):
             if not force:
                 raise FileExistsError(f"{bundle} is stored")
+            self._delete(bundle, "bundles")  # not seen while its tables change
         mode = "overwrite"
         sources.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/sources/bundle={bundle}")
         modules.sortWithinPartitions("name").write.mode(mode).parquet(f"{self.path}/modules/bundle={bundle}")
@@ -141,11 +147,29 @@ class Store:
         """The manifest goes first, so a bundle half removed is not seen."""
         if not self.has(bundle):
             raise LookupError(f"{bundle} is not stored")
+        self._delete(bundle, "bundles", "modules", "sources", "chunks")
+
+    def _delete(self, bundle: str, *tables: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in ("bundles", "modules", "sources"):
+        for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{t}/bundle={bundle}")
             p.getFileSystem(conf).delete(p, True)
 
+    def chunks(self, bundle: str) -> DataFrame:
+        """The raw chunks, where they were kept."""
+        if not self.manifest(bundle).get("chunks_kept"):
+            raise LookupError(f"the chunks of {bundle} were not kept")
+        return self._table("chunks").where(F.col("bundle") == bundle).drop("bundle")
+
+    def keep_chunks(self, bundle: str, chunks: DataFrame) -> None:
+        chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/chunks/bundle={bundle}")
+
+    def info(self, bundle: str) -> dict:
+        """The manifest of a bundle, with its name, platform and revision."""
+        name = self.resolve(bundle)
+        platform_, revision = parse_id(name)
+        return {"bundle": name, "platform": platform_, "revision": revision} | self.manifest(name)
+
 
 class Filters:
     """Filter documents in a folder of the driver; one of a built-in's name stands in for it."""

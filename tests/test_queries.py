@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from modlens.plans import catalogue
+from modlens.plans import archives, catalogue  # noqa: F401 (archives registers its queries)
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
