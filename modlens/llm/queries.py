@@ -83,15 +83,17 @@ GROUP BY w.doc_id""",
 ORACLES["op9_benchmark_decontamination"] = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)),
+bw AS (SELECT DISTINCT item_id, n, s AS t, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)),
 g AS (SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
-m AS (SELECT doc_id, s, n, item_id FROM g JOIN bw USING (n, k)),
+m AS (SELECT doc_id, s, n, item_id, t FROM g JOIN bw USING (n, k)),
 hit AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS i FROM m),
-h AS (SELECT doc_id, count(*) AS n_hit, max(run) AS longest FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, i - r) AS run FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit)) GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY doc_id),
+one AS (SELECT doc_id, item_id, n, s - t AS d, s - row_number() OVER (PARTITION BY doc_id, item_id, n, s - t ORDER BY s) AS run FROM (SELECT DISTINCT * FROM m)),
+l AS (SELECT doc_id, max(k) AS longest FROM (SELECT doc_id, count(*) + n - 1 AS k FROM one GROUP BY doc_id, item_id, n, d, run) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY doc_id)
 SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
-FROM w LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 ORACLES["op6_warc"] = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -416,6 +416,18 @@ def test_kneser_ney_sums_to_one():
 # --- 9 decontamination
 
 
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(200):
+        codes = np.array([*(rng.randint(0, 3) for _ in range(rng.randint(1, 40))), 0])
+
+        def suffix(i, codes=codes):  # to the first 0, which stands for itself
+            n = int(np.flatnonzero(codes[i:] == 0)[0])
+            return [(c, 0) for c in codes[i : i + n].tolist()] + [(0, i + n)]
+
+        assert decontam.suffix_array(codes, 100).tolist() == sorted(range(len(codes)), key=suffix)
+
+
 def test_decontamination(spark, docs, none, rows):
     from_doc = words(rows[4][1])
     items = [(1, " ".join(from_doc[3:20]), "x"), (2, "word", "x"), (3, None, "x"), (4, "!!", "x"), (5, " ".join(from_doc[5:15]).upper(), "x"), (6, "one two three", "x"), (7, "nothing like this stands anywhere in the corpus at all", "x"), (8, "one two three", "x"), (None, "two words", "x")]
@@ -424,8 +436,20 @@ def test_decontamination(spark, docs, none, rows):
     for i, t, _ in items:
         w = words(t)
         n = min(10, len(w))
-        for s in range(len(w) - n + 1 if n and i is not None else 0):
-            wins.setdefault(tuple(w[s : s + n]), set()).add(str(i))
+        for s in range(len(w) - n + 1 if n else 0):
+            wins.setdefault(tuple(w[s : s + n]), set()).add(i)  # an item without id hits as well, as in the query's SQL
+
+    def longest(w):  # by places, one item at a time
+        best = 0
+        for v in (words(t) for _, t, _ in items):
+            for a in range(len(v)):
+                for b in range(len(w)):
+                    n = 0
+                    while a + n < len(v) and b + n < len(w) and v[a + n] == w[b + n]:
+                        n += 1
+                    best = max(best, n) if n and n >= min(10, len(v)) else best
+        return best
+
     want = []
     for i, t, *_ in rows:
         w, found = words(t), set()
@@ -435,14 +459,20 @@ def test_decontamination(spark, docs, none, rows):
                 if tuple(w[s : s + len(k)]) == k:
                     hit[s : s + len(k)] = [True] * len(k)
                     found |= ids
-        want.append((key(i), len(w), sum(hit), len(found), sha(",".join(sorted(found))), any(hit)))
+        want.append((key(i), len(w), sum(hit), len(found), sha(",".join(sorted(str(x) for x in found if x is not None))), longest(w) if any(hit) else 0, any(hit)))
     assert sum(x[-1] for x in want) >= 3
     for size in (decontam.BLOCK_BYTES, 40):
         got = decontam.report(docs, bench, block_bytes=size).collect()
-        assert sorted((key(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == sorted(want)
+        assert sorted((key(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["longest_match"], r["contaminated"]) for r in got) == sorted(want)
         left = decontam.clean(docs, bench, block_bytes=size)
         assert left.columns == docs.columns
         assert sorted(key(r["doc_id"]) for r in left.collect()) == sorted(x[0] for x in want if not x[-1])
+    side = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(12))), (2, " ".join(f"b{i}" for i in range(11)))], "item_id long, text string")
+    text = "x " + " ".join([f"a{i}" for i in range(12)] + [f"b{i}" for i in range(11)]) + " y " + "z " * 200_000
+    r = decontam.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), side).first()
+    assert (r["n_hit"], r["n_items"], r["longest_match"]) == (23, 2, 12)  # two items side by side are no one match
+    m = decontam.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), side).first()["matches"]
+    assert sorted((x["item_id"], x["doc_start"], x["item_start"], x["length"]) for x in m) == [("1", 1, 0, 12), ("2", 13, 0, 11)]
     assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
