@@ -6,6 +6,11 @@ edits cannot touch them all, a linked line of the same length or longer holds on
 it is, and only at the few places that its length allows.  The segments are the index, the
 substrings at those places the probes, keyed by length, segment number and text.
 
+A key that more than HOT lines share (a template with changing numbers, say) gives no pairs: its lines go
+to a second round, cut into FINE segments.  As EDITS edits touch EDITS segments at most, each
+line is paired through its EDITS + 1 rarest ones only, which are those that tell lines of one
+template apart.
+
 Keys travel as packed rows, one for each shard of documents and key range, with the line's
 64-bit hash and the parity of its letter counts (which EDITS edits can change in at most
 2 * EDITS places); lines that stand often in a shard are sent once.  Candidates are verified
@@ -26,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import filters, textops as T
 from .substrings import pack_sorted, planes, unpack_sorted, unplanes
@@ -35,6 +40,7 @@ from .work import Work
 EDITS, MIN_CHARS = 2, 40
 SHARD_BYTES = 3 << 20
 RANGE_KEYS = 4_000_000
+HOT, FINE = 200, 12
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -135,9 +141,10 @@ def _entries(edits: int, least: int, n_ranges: int, bits: int):
     return run
 
 
-def _candidates(edits: int):
+def _candidates(edits: int, hot: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """One key range: an indexed and a probing line of one key, unless their letters differ too much."""
+        """One key range: an indexed and a probing line of one key, unless their letters differ too much.  The
+        lines of a key with more than `hot` entries come out alone, with no b."""
         ks, lines, par, kinds = [], [], [], []
         for r in table.to_pylist():
             k = unpack_sorted(r["keys"])
@@ -152,6 +159,10 @@ def _candidates(edits: int):
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (line[1:] != line[:-1]) | (kind[1:] != kind[:-1])
         k, line, parity, kind = k[new], line[new], parity[new], kind[new]
+        _, of, size = np.unique(k, return_inverse=True, return_counts=True)
+        many = size[of] > hot
+        alone = np.unique(line[many]).view(np.int64)
+        k, line, parity, kind = (x[~many] for x in (k, line, parity, kind))
         a, b = [], []
         at, d = np.arange(len(k)), 1
         while len(at):
@@ -164,11 +175,51 @@ def _candidates(edits: int):
             d += 1
         a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+        right = pa.array(np.append(pair[:, 1], alone), pa.int64(), mask=np.arange(len(pair) + len(alone)) >= len(pair))
+        return pa.table({"a": pa.array(np.append(pair[:, 0], alone), pa.int64()), "b": right})
 
     return run
 
 
+ENTRY = "key long, line long, parity int, indexed boolean"
+
+
+def _fine(edits: int, parts: int):
+    """Index and probe entries of lines cut into `parts` segments: a probe's segment stands where the edits before
+    and behind it, edits together, can have moved it."""
+
+    def run(batches):
+        for b in T.slices(batches, SHARD_BYTES):
+            codes, start, stop, *_ = _lines(b.column("text").to_pylist())
+            h, length, own = _Hashes(codes), stop - start, b.column("line").to_numpy()
+            flips = np.concatenate((np.zeros(1, np.uint32), np.bitwise_xor.accumulate(np.uint32(1) << (codes & 31))))
+            parity = (flips[stop] ^ flips[start]).view(np.int32)
+            for delta in range(edits + 1):
+                other = length - delta
+                for i, (at, size) in enumerate(segments(other, parts - 1)):
+                    for shift in range(-((edits - delta) // 2), (edits + delta) // 2 + 1):
+                        begin = at + shift
+                        ok = (begin >= 0) & (begin + size <= length)
+                        s = start[ok] + begin[ok]
+                        salt = other[ok].astype(_U) * _U(0xA24BAED4963EE407) + _U((i + 1) * 0x9FB21C651E98DF25 & T._MASK)
+                        key = T.mix(h.of(s, s + size[ok]) + salt).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[ok]), pa.array(parity[ok]), pa.array(np.full(len(key), delta == 0 and shift == 0))], [x.split()[0] for x in ENTRY.split(", ")])
+
+    return run
+
+
+def _second_round(lines: DataFrame, work: Work, edits: int, least: int) -> DataFrame:
+    """Pairs among lines (line, text) of hot keys: each through the edits + 1 of its segments that fewest lines hold."""
+    parts = max(edits + 1, min(FINE, (least - edits) // 3))
+    entries = work.table(lines.transform(T.mapped, _fine(edits, parts), ENTRY).distinct(), "entries")
+    held = entries.groupBy("key").agg(F.count("*").alias("held"))
+    rare = Window.partitionBy("line").orderBy("held", "key")
+    chosen = entries.where("indexed").join(held, "key").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= edits + 1)
+    a, b = chosen.select("key", F.col("line").alias("a"), F.col("parity").alias("pa")), entries.select("key", F.col("line").alias("b"), F.col("parity").alias("pb"))
+    near = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 LINES = "line long, doc_id long, th long, number int, text string"
 
 
@@ -241,7 +292,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def links(docs: DataFrame, work: Work, edits: int = EDITS, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, work: Work, edits: int = EDITS, least: int = MIN_CHARS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(line occurrences, verified links between different lines: a, b, edits)."""
     if least < 2 * edits + 2:
         raise ValueError("lines must be long enough to have edits + 1 segments after edits deletions")
@@ -252,12 +303,18 @@ def links(docs: DataFrame, work: Work, edits: int = EDITS, least: int = MIN_CHAR
     n_keys = max(1, size // least * (edits + 1) * (edits + 2))
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // (8 * RANGE_KEYS)))
     bits = min(56, max(36, n_keys.bit_length() + 10))
-    found = rows.transform(T.mapped, _entries(edits, least, n_ranges, bits), EXCHANGE).groupBy("p").applyInArrow(_candidates(edits), "a long, b long")
-    pairs = work.table(found.distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    found = rows.transform(T.mapped, _entries(edits, least, n_ranges, bits), EXCHANGE).groupBy("p").applyInArrow(_candidates(edits, hot), "a long, b long")
+    found = work.table(found.distinct(), "candidates")
+    pairs = found.where("b is not null")
+    alone = found.where("b is null").select(F.col("a").alias("line"))
+    ends = found.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     sent = spark.sparkContext.broadcast(filters.of(ends, "line", hashed=True))
     lines = work.table(rows.transform(T.mapped, _occurrences(sent), LINES), "lines")
     texts = lines.where("text is not null").select("line", "text").join(ends, "line", "left_semi").dropDuplicates(["line"])
+    if not alone.isEmpty():
+        texts = work.table(texts, "texts")
+        more = _second_round(texts.join(alone, "line", "left_semi"), work, edits, least)
+        pairs = work.table(pairs.unionByName(more).distinct(), "all_candidates")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
     return lines, work.table(both.select("a", "b", "text_a", "text_b").transform(T.mapped, _verified(edits), "a long, b long, edits int"), "links")
 

@@ -205,6 +205,31 @@ def test_line_dedup(docs, none, rows):
 # --- 4 near duplicates
 
 
+@pytest.mark.parametrize("hot", [2, 200])
+def test_lines_of_one_template(spark, hot):
+    """Many lines that share most segments: every link, and few candidates."""
+    rng = random.Random(3)
+    ids = ["".join(rng.choice("0123456789") for _ in range(30)) for _ in range(600)]
+    lines = [f"2024-01-01 GET /item/{i} status ok" for i in ids]
+    for t in lines[:40]:  # lines within two edits, at all places
+        a, b = rng.randrange(len(t)), rng.randrange(len(t))
+        lines += [t[:a] + "~" + t[a + 1 :], t[:a] + t[a + 1 :], t[:a] + "#" + t[a:b] + t[b + 1 :] if a < b else t + "+", t[:b] + "ab" + t[b:]]
+    lines = sorted(set(lines))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::7])) for i in range(7)], "doc_id long, text string")
+    work = Work(spark, "template")
+    occurrences, found = linededup.links(docs, work, hot=hot)
+    spelt = {r["line"]: r["text"] for r in occurrences.where("text is not null").collect()}
+    got = {(frozenset((spelt[r["a"]], spelt[r["b"]])), r["edits"]) for r in found.collect()}
+    want = set()
+    for i, x in enumerate(lines):
+        for y in lines[i + 1 :]:
+            if abs(len(x) - len(y)) <= 2 and (d := linededup.distance(x, y, 2)) <= 2:
+                want.add((frozenset((x, y)), d))
+    assert got == want and len(want) > 150
+    if hot == 200:
+        assert spark.read.parquet(f"{work.path}/all_candidates").count() < 6 * len(lines)
+
+
 def test_near_duplicates(docs, none, rows, monkeypatch):
     grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
     own = [(key(i), words(t), t or "") for i, t, *_ in rows]
