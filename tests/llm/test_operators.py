@@ -142,8 +142,9 @@ def brute_bm25(rows, top):
 def test_bm25(docs, none, rows, monkeypatch):
     distinct = docs.where("doc_id % 5 = 0").dropDuplicates(["doc_id"])
     want = brute_bm25(rows, 6)
-    for size, shard in ((1 << 24, 1 << 22), (2000, 3000)):
-        monkeypatch.setattr(bm25, "SHARD_BYTES", shard)
+    for size, shard, per, seeds in ((1 << 24, 1 << 22, 32, 2000), (2000, 3000, 2, 12), (1 << 24, 20_000, 1, 5)):
+        for name, value in (("SHARD_BYTES", shard), ("BLOCK_DOCS", per), ("SEEDS", seeds)):
+            monkeypatch.setattr(bm25, name, value)
         got = {}
         for r in bm25.search(docs, distinct, top=6, query_bytes=size).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((-round(r["score"], 7), -1 if r["doc_id"] is None else r["doc_id"]))
@@ -151,6 +152,33 @@ def test_bm25(docs, none, rows, monkeypatch):
     assert bm25.search(none, none).count() == 0
 
 
+def test_blocks_are_skipped():
+    """Documents of several languages in turn: like ones come together, most blocks stay closed, scores are exact."""
+    rng = random.Random(2)
+    vocab = [[f"{c}{i}" for i in range(400)] for c in "abcd"]
+    weights = [1 / (r + 3) for r in range(400)]
+    texts = [rng.choices(vocab[k % 4], weights, k=60) for k in range(800)]
+    terms = [np.unique(np.array([hash_(w) for w in t], np.uint64), return_counts=True) for t in texts]
+    rows = [(i, t.tobytes(), c.astype(np.int32).tobytes()) for i, (t, c) in enumerate(terms)]
+    q = bm25.Queries(rows[::16])
+    df = Counter(x for t, _ in terms for x in t.tolist())
+    q.idf, q.avg = np.array([np.log(1 + (800 - df[x] + 0.5) / (df[x] + 0.5)) for x in q.vocab.tolist()]), 60.0
+    shard = bm25.Shard(q, np.arange(800), np.full(800, 60), [t for _, t, _ in rows], [c for *_, c in rows])
+    for i in range(len(q.ids)):
+        doc, score = shard.search(q.term[i], q.count[i], -np.inf, 5)
+        got = sorted(zip((-score).round(9).tolist(), shard.ids[doc].tolist(), strict=True))[:5]
+        own = dict(zip(q.vocab[q.term[i]].tolist(), q.count[i].tolist(), strict=True))
+        idf = dict(zip(q.vocab.tolist(), q.idf.tolist(), strict=True))
+        every = [(-sum(n * idf[x] * c * 2.2 / (c + 1.2) for x, c in zip(t.tolist(), k.tolist(), strict=True) if (n := own.get(x))), d) for d, (t, k) in enumerate(terms)]
+        want = sorted((round(s, 9), d) for s, d in every if s < 0)[:5]
+        assert [d for _, d in got] == [d for _, d in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+    assert shard.opened < 0.6 * shard.blocks * len(q.ids)
+
+
+def hash_(w):
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+
+
 # --- 3 lines
 
 
