@@ -159,7 +159,7 @@ def test_blocks_are_skipped():
     texts = [rng.sample(vocab[k % 4][:30], 20) + rng.choices(vocab[k % 4], k=40) for k in range(800)]
     terms = [np.unique(np.array([hash_(w) for w in t], np.uint64), return_counts=True) for t in texts]
     rows = [(i, t.tobytes(), c.astype(np.int32).tobytes()) for i, (t, c) in enumerate(terms)]
-    q = bm25.Queries(rows[::16])
+    q = bm25.Queries(rows[::15])
     df = Counter(x for t, _ in terms for x in t.tolist())
     q.idf, q.avg = np.array([np.log(1 + (800 - df[x] + 0.5) / (df[x] + 0.5)) for x in q.vocab.tolist()]), 60.0
     shard = bm25.Shard(q, np.arange(800), np.full(800, 60), [t for _, t, _ in rows], [c for *_, c in rows])
