@@ -17,7 +17,7 @@ import hashlib
 import os
 import re
 import uuid
-from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +73,18 @@ class Codec:
 
         table = byte_table()
         show = lambda b: "".join(map(table.__getitem__, b))
-        self.bytes_of = {i: b for b, i in ranks.items()}
         self.tok = Tokenizer(models.BPE({show(b): i for b, i in ranks.items()}, [(show(a), show(b)) for a, b in merges]))
         self.tok.model._resize_cache(cache)
         native = pattern == LIBRARY_PATTERN
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=native)
         self.tok.pre_tokenizer = level if native else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), level])
-        self.digits = {i: b"%d " % i for i in self.bytes_of}
+        # decoding: each token's characters through the byte table the other way round
+        back = {c: b for b, c in table.items()}
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for shown, i in self.tok.get_vocab(with_added_tokens=False).items():
+            self.bytes_of[i] = bytes(map(back.__getitem__, shown))
+        self.sizes = np.array([len(b or b"") for b in self.bytes_of], np.int64)
+        self.digits = [b"%d " % i for i in range(len(self.bytes_of))]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -94,28 +99,19 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for piece in x for i in piece] for x in self._encode(texts, lambda e, _: e.ids)]
-
-    def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """ids and character spans; a token that holds part of a character spans the whole character."""
-        got = self._encode(texts, lambda e, at: (e.ids, [(a + at, b + at) for a, b in e.offsets]), full=True)
-        return [([i for ids, _ in x for i in ids], [o for _, offs in x for o in offs]) for x in got]
-
-    def _encode(self, texts, take, full: bool = False):
-        run = self.tok.encode_batch if full else self.tok.encode_batch_fast
+        """The ids of each text, in batches of bounded size."""
         out: list[list] = [[] for _ in texts]
         todo, size = [], 0
 
         def flush():
-            for (i, at, _), e in zip(todo, run([p for *_, p in todo], add_special_tokens=False), strict=True):
-                out[i].append(take(e, at))
+            for (i, _), e in zip(todo, self.tok.encode_batch_fast([p for _, p in todo], add_special_tokens=False), strict=True):
+                out[i] += e.ids
             todo.clear()
 
         for i, text in enumerate(texts):
-            at = 0
             for p in self.pieces(text):
-                todo.append((i, at, p))
-                at, size = at + len(p), size + len(p)
+                todo.append((i, p))
+                size += len(p)
                 if size >= BATCH_CHARS:
                     flush()
                     size = 0
@@ -131,18 +127,17 @@ class Codec:
 
 
 class Units:
-    """Encodes texts unit by unit and keeps what make() does of each unit's ids.
+    """Encodes texts unit by unit and keeps each unit's ids; a text's ids are those of its units in order.
 
     A text is cut before every single space between two characters that are no white space: a match of
     the pattern always begins there.  Units repeat a great deal, and those not met yet are encoded
     together, as one text whose tokens that begin with a space begin the units.
     """
 
-    def __init__(self, codec: Codec, make, cache: int = CACHE):
-        self.codec, self.make, self.cache = codec, make, cache
+    def __init__(self, codec: Codec, cache: int = CACHE):
+        self.codec, self.cache = codec, cache
         self.known: dict = {}
-        self.opens = np.zeros(max(codec.bytes_of) + 1, bool)
-        self.opens[[i for i, b in codec.bytes_of.items() if b[:1] == b" "]] = True
+        self.opens = np.array([b is not None and b[:1] == b" " for b in codec.bytes_of])
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -159,8 +154,8 @@ class Units:
                 own += " " + p
         return [*out, own]
 
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text what make() gave for its units, in order."""
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         cut = [self.cut(t) for t in texts]
         new = set().union(*[x[1:] for x in cut]).difference(self.known)
         if len(self.known) + len(new) > self.cache:
@@ -174,20 +169,20 @@ class Units:
             at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
             ids = ids.tolist()
             for u, a, b in zip(group, at[:-1], at[1:], strict=True):
-                self.known[u] = self.make(ids[a:b])
+                self.known[u] = tuple(ids[a:b])
         for u, ids in zip(odd, self.codec.encode([" " + u for u in odd]), strict=True):
-            self.known[u] = self.make(ids)
+            self.known[u] = tuple(ids)
         first = self.codec.encode([x[0] for x in cut])
-        return [[self.make(f), *map(self.known.__getitem__, x[1:])] for f, x in zip(first, cut, strict=True)]
+        return [list(chain(f, *map(self.known.__getitem__, x[1:]))) for f, x in zip(first, cut, strict=True)]
 
 
-def char_of_byte(text: str, at: list[int]) -> list[int]:
-    """Character positions of byte positions, by binary search over the characters' first bytes."""
-    starts, n = [], 0
-    for c in text:
-        starts.append(n)
-        n += len(c.encode())
-    return [bisect_right(starts, x) - 1 if x < n else len(text) for x in at]
+def char_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) in characters of tokens of these sizes in bytes, which make up the text: the characters' first
+    bytes, by binary search, tell which character a byte belongs to.  A token that holds part of a character spans it."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    heads = np.flatnonzero((raw & 0xC0) != 0x80)
+    ends = np.cumsum(sizes)
+    return np.searchsorted(heads, ends - sizes, "right") - 1, np.searchsorted(heads, ends - 1, "right")
 
 
 #: fixed value: the pattern that the library's byte-level splitter has built in
@@ -218,14 +213,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN, off
 
     def run(batches):
         c = codec()
-        units = Units(c, lambda ids: ids)
+        units = Units(c)
         for b in T.slices(batches, 1 << 20):
             texts = [x or "" for x in b.column("text").to_pylist()]
+            cols = [units.of(texts)]
             if offsets:
-                got = c.encode_with_offsets(texts)
-                cols = [[i for i, _ in got], [[a for a, _ in o] for _, o in got], [[z for _, z in o] for _, o in got]]
-            else:
-                cols = [[[i for ids in x for i in ids] for x in units.of(texts)]]
+                spans = [char_spans(t, c.sizes[ids]) for t, ids in zip(texts, cols[0], strict=True)]
+                cols += [[a for a, _ in spans], [z for _, z in spans]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in cols]], ["doc_id", "ids", "starts", "ends"][: 1 + len(cols)])
 
     return docs.select("doc_id", "text").transform(T.mapped, run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
@@ -254,12 +248,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = LIBRARY_PATTERN)
 
     def run(batches):
         c = codec()
-        units = Units(c, lambda ids: (len(ids), b"".join(map(c.digits.__getitem__, ids)), c.decode_bytes(ids)))
+        units = Units(c)
         for b in T.slices(batches, 1 << 20):
             rows = []
-            for got in units.of([x or "" for x in b.column("text").to_pylist()]):
-                n, listed, back = zip(*got, strict=True)
-                rows.append((sum(n), hashlib.sha256(b"".join(listed)[:-1]).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()))
+            for ids in units.of([x or "" for x in b.column("text").to_pylist()]):
+                listed = b"".join(map(c.digits.__getitem__, ids))[:-1]
+                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(c.decode_bytes(ids)).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
