@@ -365,6 +365,38 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.train(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_gradients():
+    """loss() against a dense softmax, and each gradient against differences."""
+    rng = np.random.default_rng(4)
+    texts, rows, dim = 7, 11, 5
+    dense = rng.random((texts, rows)) * (rng.random((texts, rows)) < 0.6)
+    of, row = np.nonzero(dense)
+    x, y, weight = dense[of, row], np.array([0, 1, 0, 1, 1, 0, 0]), rng.random(texts)
+    params = [rng.normal(size=(rows, dim)), rng.normal(size=(dim, 2)), rng.normal(size=2)]
+
+    def brute(table, soft, bias):
+        z = dense @ table @ soft + bias
+        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        return -(weight * np.log(p[np.arange(texts), y])).sum()
+
+    value, *grads = toxicity.loss(of, row, x, y, weight, *params)
+    assert np.isclose(value, brute(*params))
+    for k, g in enumerate(grads):
+        for at in np.ndindex(g.shape):
+            up, down = ([p.copy() for p in params] for _ in range(2))
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert np.isclose(g[at], (brute(*up) - brute(*down)) / 2e-6, atol=1e-6)
+
+
+def test_toxicity_null_labels(spark):
+    says = (["kind", "good", "fine", "lovely"], ["awful", "nasty", "vile", "rotten"])
+    docs = spark.createDataFrame([(i, f"{says[i % 2][i // 2 % 4]} words") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i % 3 else None) for i in range(200)] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").collect()
+    assert got and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     rng = random.Random(1)
     make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
@@ -431,8 +463,14 @@ def test_bpe(docs, none, rows):
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "é", "'s", "1", "!", "<|endoftext|>", "漢", "🙂", "\x1c", "\x85", "​", "word"]
     odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    assert [[i for u in x for i in u] for x in bpe.Units(codec, lambda ids: ids, cache=500).of(odd)] == [e.encode_ordinary(t) for t in odd]
-    assert bpe.char_of_byte("é漢x", [0, 1, 2, 4, 5, 6]) == [0, 0, 1, 1, 2, 3]
+    got = bpe.Units(codec, cache=500).of(odd)
+    assert got == [e.encode_ordinary(t) for t in odd] == codec.encode(odd)
+    assert [codec.decode_bytes(x) for x in got] == [t.encode() for t in odd]
+    for t, ids, own in zip(odd, got, codec.tok.encode_batch(odd, add_special_tokens=False), strict=True):
+        assert list(zip(*(x.tolist() for x in bpe.char_spans(t, codec.sizes[ids])), strict=True)) == own.offsets
+    assert sorted(b for x in codec.bytes_of if x and len(x) == 1 for b in x) == list(range(256))
+    parts_of_one = codec.encode(["漢🙂"])[0]  # decoded token by token some are no characters
+    assert any("\ufffd" in codec.decode([i]) for i in parts_of_one) and codec.decode(parts_of_one) == "漢🙂"
 
 
 # --- 8 language
