@@ -45,19 +45,6 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return body, np.append(first, n_before[-1])
 
 
-def grams(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams inside single texts, and the place where each ends."""
-    h = T.windows(codes.astype(np.uint64) + np.uint64(1), n)
-    ok = np.ones(len(h), bool)
-    for f in first[1:-1].tolist() if len(first) < 64 else ():
-        ok[max(0, f - n + 1) : f] = False
-    if len(first) >= 64:
-        text = np.searchsorted(first[:-1], np.arange(len(codes)), side="right")
-        ok = text[: len(h)] == text[n - 1 :][: len(h)]
-    at = np.flatnonzero(ok)
-    return h[at], at + n - 1
-
-
 def held_out(folds: int = 5) -> Column:
     """crc32 of doc_id as text, mod folds, is 0; a null doc_id is held out as well."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0)) == 0
@@ -80,10 +67,3 @@ def picked(rows: DataFrame, label: str, per_label: int, docs: DataFrame | None =
         few = out.select("doc_id", label).toArrow()  # per_label ids of each label
         out = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(few)), "doc_id")
     return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), label)
-
-
-def sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
-    """The rows of picked() with the first max_chars of their texts: what a classifier is fitted on is bounded by
-    these two parameters."""
-    got = picked(rows, label, per_label)
-    return [] if got is None else got.withColumn("text", F.substring("text", 1, max_chars)).orderBy("doc_id", "text").collect()

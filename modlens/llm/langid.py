@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import chars, textops as T
+from .work import Work
 
 ORDER = 4
-PER_LANG, SAMPLE_CHARS = 500, 20_000
+PER_LANG = 500
+PIECE_CHARS = 1 << 20
 _U = np.uint64
 
 
@@ -73,8 +75,8 @@ class Model:
             self._add(total, text[todo[got]], self.logp[n][at[got]] + back[got])
             miss = ~got
             todo, back, full = todo[miss], back[miss], full[miss]
-            if n > 1 and len(todo):
-                context = np.zeros(len(todo), _U)
+            if len(todo):
+                context = np.zeros(len(todo), _U)  # the empty one for n = 1
                 context[full] = steps[n - 1][todo[full] - n + 1]
                 c = np.where(full, _find(self.contexts[n], context), -1)
                 back[c >= 0] += self.weight[n][c[c >= 0]]
@@ -130,23 +132,53 @@ class Model:
         return two[:, 1] - two[:, 0]
 
 
-def _raw(langs: list[str], texts: dict[str, list[str]]) -> Model:
-    """Kneser-Ney by orders from the lowest up."""
+COUNTS = "lang string, n int, key long, context long, suffix long, count long"
+
+
+def ngrams(texts: list[str]) -> dict[int, tuple]:
+    """For each order the n-grams of the texts: (sorted keys, counts, keys of what stands before the last character,
+    keys of what stands behind the first)."""
+    codes, first = chars.folded(texts)
+    steps = _steps(codes)
+    lead = np.zeros(len(codes), bool)
+    lead[first[:-1]] = True
+    place = np.arange(len(codes)) - first[np.cumsum(lead) - 1]
+    own = {}
+    for n in range(1, ORDER + 1):
+        end = np.flatnonzero(place >= max(n - 1, 1))
+        keys, at, count = np.unique(steps[n][end - n + 1], return_index=True, return_counts=True)
+        end = end[at]
+        none = np.zeros(len(end), _U)
+        own[n] = keys, count, steps[n - 1][end - n + 1] if n > 1 else none, steps[n - 1][end - n + 2] if n > 1 else none
+    return own
+
+
+def _pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
+    """A very long text in pieces cut at spaces."""
+    out, at = [], 0
+    while len(text) - at > limit and (to := text.find(" ", at + limit)) >= 0:
+        out.append(text[at:to])
+        at = to
+    return [*out, text[at:]]
+
+
+def _counts(batches):
+    """Counts of the whole texts of a batch, one row for each n-gram of a language."""
+    types = [pa.string(), pa.int32(), *[pa.int64()] * 4]
+    for b in T.slices(batches, 2 << 20):
+        by: dict[str, list[str]] = {}
+        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+            by.setdefault(lang, []).extend(_pieces(text or ""))
+        for lang, texts in by.items():
+            for n, (key, count, context, suffix) in ngrams(texts).items():
+                if len(key):
+                    cols = [pa.array([lang] * len(key)), pa.array(np.full(len(key), n, np.int32)), *[pa.array(x.view(np.int64)) for x in (key, context, suffix)], pa.array(count)]
+                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in COUNTS.split(", ")])
+
+
+def _raw(langs: list[str], seen: list[dict[int, tuple]]) -> Model:
+    """Kneser-Ney by orders from the lowest up; seen has what ngrams() gives, for each language."""
     n_langs = len(langs)
-    seen = []  # for each language and order: (keys, counts, context key, suffix key) of its n-grams
-    for lang in langs:
-        codes, first = chars.folded(texts[lang])
-        steps = _steps(codes)
-        lead = np.zeros(len(codes), bool)
-        lead[first[:-1]] = True
-        place = np.arange(len(codes)) - first[np.cumsum(lead) - 1]
-        own = {}
-        for n in range(1, ORDER + 1):
-            end = np.flatnonzero(place >= max(n - 1, 1))
-            keys, at, count = np.unique(steps[n][end - n + 1], return_index=True, return_counts=True)
-            end = end[at]
-            own[n] = (keys, count.astype(float), steps[n - 1][end - n + 1] if n > 1 else np.zeros(len(end), _U), steps[n - 1][end - n + 2] if n > 1 else np.zeros(len(end), _U))
-        seen.append(own)
     grams, logp, contexts, weight = {}, {}, {}, {}
     vocab = len(np.unique(np.concatenate([s[1][0] for s in seen]))) + 1
     floor = np.full(n_langs, -np.log(vocab), np.float32)
@@ -161,7 +193,7 @@ def _raw(langs: list[str], texts: dict[str, list[str]]) -> Model:
         at_ctx = np.searchsorted(contexts[n], ctx_of)
         below = np.full((len(keys), n_langs), 1 / vocab) if n == 1 else lower[np.maximum(_find(grams[n - 1], suffix), 0)]
         for i, s in enumerate(seen):
-            own, count = s[n][0], s[n][1]
+            own, count = s[n][0], s[n][1].astype(float)
             if n < ORDER:  # how many different characters stand in front
                 up = np.searchsorted(own, s[n + 1][3])
                 up = up[(up < len(own)) & (own[np.minimum(up, len(own) - 1)] == s[n + 1][3])]
@@ -190,11 +222,16 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     if not langs:
         return Model([], {}, {}, {}, {}, np.zeros(0))
     kept = {k: v[::5] if len(v) >= 10 else [] for k, v in by.items()}
-    model = _raw(langs, {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 10] for k, v in by.items()})
+    model = _raw(langs, [ngrams([t for i, t in enumerate(by[k]) if i % 5 or len(by[k]) < 10]) for k in langs])
     texts, truth = [t for k in langs for t in kept[k]], np.array([i for i, k in enumerate(langs) for _ in kept[k]])
-    if len(texts) < 5 or len(langs) < 2:
+    return calibrated(model, *model.all_costs(texts), truth) if len(texts) else model
+
+
+def calibrated(model: Model, cost: np.ndarray, n: np.ndarray, truth: np.ndarray) -> Model:
+    """The chance of being right by the lead, and the limits of rejection, from texts that were not learnt from."""
+    langs = model.langs
+    if len(truth) < 5 or len(langs) < 2:
         return model
-    cost, n = model.all_costs(texts)
     ok = n > 0
     cost, truth = cost[ok], truth[ok]
     best, lead = cost.argmin(1), model.lead(cost)
@@ -216,10 +253,50 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on about per_lang rows of each language that are not held out."""
+COSTS = "lang string, n long, cost array<double>"
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+    """Fits on the whole texts of about per_lang rows of each language that are not held out.  Executors count their
+    n-grams, and score the fifth of them that is kept for calibration: no text reaches the driver."""
+    spark = docs.sparkSession
+    T.small_batches(spark)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~chars.held_out())
-    return fit([(r["text"], r["lang"]) for r in chars.sample(rows, "lang", per_lang, sample_chars)])
+    chosen = chars.picked(rows, "lang", per_lang)
+    if chosen is None:
+        return fit([])
+    chosen = Work(spark, "langid").table(chosen, "sample")
+    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    few = [k for k in langs if sizes[k] < 10]  # too few to keep some back
+    kept = (F.pmod(F.xxhash64("doc_id", F.lit("kept")), F.lit(5)) == 0) & ~F.col("lang").isin(few)
+    counted = chosen.where(~kept).transform(T.mapped, _counts, COUNTS).groupBy("lang", "n", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("count").alias("count")).toArrow()
+    lang, order = counted.column("lang").to_numpy(), counted.column("n").to_numpy()
+    cols = [counted.column(c).to_numpy() for c in ("key", "count", "context", "suffix")]
+    seen = []
+    for k in langs:
+        own = {}
+        for n in range(1, ORDER + 1):
+            at = np.flatnonzero((lang == k) & (order == n))
+            key, count, context, suffix = (np.ascontiguousarray(c[at]) for c in cols)
+            key = key.view(_U)
+            by_key = np.argsort(key)
+            own[n] = key[by_key], count[by_key], context.view(_U)[by_key], suffix.view(_U)[by_key]
+        seen.append(own)
+    model = _raw(langs, seen)
+    sent = spark.sparkContext.broadcast(model)
+
+    def costs(batches):
+        for b in T.slices(batches, 2 << 20):
+            cost, n = sent.value.all_costs(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(np.asarray(n, np.int64)), pa.array(list(cost), pa.list_(pa.float64()))], ["lang", "n", "cost"])
+
+    got = chosen.where(kept).transform(T.mapped, costs, COSTS).toArrow()
+    sent.destroy()
+    if not got.num_rows:
+        return model
+    truth = np.searchsorted(langs, got.column("lang").to_pylist())
+    return calibrated(model, np.array(got.column("cost").to_pylist()).reshape(-1, len(langs)), got.column("n").to_numpy(), truth)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

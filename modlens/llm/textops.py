@@ -12,7 +12,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -149,15 +148,6 @@ def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def cover(flag: np.ndarray, n: int, total: int) -> np.ndarray:
-    """Marks the words covered by the flagged windows of n words."""
-    d = np.zeros(total + 1, np.int32)
-    at = np.flatnonzero(flag)
-    np.add.at(d, at, 1)
-    np.add.at(d, np.minimum(at + n, total), -1)
-    return np.cumsum(d[:total]) > 0
-
-
 def groups_by_bytes(offsets: np.ndarray, limit: int = 4 << 20):
     """(first, last) text numbers of neighbouring texts of about `limit` bytes together."""
     i, n = 0, len(offsets) - 1
@@ -168,10 +158,6 @@ def groups_by_bytes(offsets: np.ndarray, limit: int = 4 << 20):
         i = j
 
 
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def slices(batches, limit: int = 8 << 20, column_name: str = "text"):
     """Cuts record batches so that the text in each is about `limit` bytes."""
     for b in batches:

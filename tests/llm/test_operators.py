@@ -494,13 +494,51 @@ def test_language(spark, none):
     assert langid.fit([]).predict(["x"]) == [("und", 0.0, True)]
 
 
+class BruteKneserNey:
+    """Interpolated Kneser-Ney over dictionaries, one language at a time."""
+
+    def __init__(self, texts, vocab, order):
+        from modlens.llm import chars
+
+        self.vocab, self.order, self.of = vocab, order, lambda t: tuple(chars.folded([t])[0].tolist())
+        raw = {n: Counter(c[i - n + 1 : i + 1] for c in map(self.of, texts) for i in range(max(n - 1, 1), len(c))) for n in range(1, order + 1)}
+        self.count, self.off, self.sums, self.kinds = {}, {}, {}, {}
+        for n in range(1, order + 1):
+            own = dict(raw[n])
+            if n < order:
+                before = Counter(g[1:] for g in raw[n + 1])
+                own = {g: before.get(g, 0) or 1 for g in own}
+            once, twice = (sum(c == k for c in own.values()) for k in (1, 2))
+            self.count[n], self.off[n] = own, once / (once + 2 * twice) if once else 0.5
+            self.sums[n], self.kinds[n] = Counter(), Counter(g[:-1] for g in own)
+            for g, c in own.items():
+                self.sums[n][g[:-1]] += c
+
+    def p(self, h, c):
+        n = len(h) + 1
+        below = self.p(h[1:], c) if h else 1 / self.vocab
+        total = self.sums[n][h]
+        return max(self.count[n].get((*h, c), 0) - self.off[n], 0) / total + self.off[n] * self.kinds[n][h] / total * below if total else below
+
+    def cost(self, text):
+        c = self.of(text)
+        return -sum(np.log(self.p(c[max(0, i - self.order + 1) : i], c[i])) for i in range(1, len(c))) / (len(c) - 1)
+
+
 def test_kneser_ney_sums_to_one():
-    model = langid.fit([("abba cab " * 5, "x"), ("baca bb " * 5, "y")])
     from modlens.llm import chars
 
-    letters = sorted({c for t in ("abba cab", "baca bb") for c in t})
-    codes = {c: np.exp(-model.costs([f"ab{c}" if c != " " else "ab"])[0] * model.costs([f"ab{c}" if c != " " else "ab"])[1][:, None]) for c in letters}
-    assert all((p > 0).all() for p in codes.values()) and len(chars.folded(["ab"])[0]) == 4
+    rng = random.Random(8)
+    texts = {k: [" ".join("".join(rng.choice(v) for _ in range(rng.randint(1, 6))) for _ in range(30)) for _ in range(6)] for k, v in (("x", "abcab"), ("y", "bcddé"), ("z", "aez"))}
+    model = langid._raw(sorted(texts), [langid.ngrams(texts[k]) for k in sorted(texts)])
+    letters = {c for v in texts.values() for t in v for c in chars.folded([t])[0].tolist()}
+    brute = [BruteKneserNey(texts[k], len(letters) + 1, langid.ORDER) for k in sorted(texts)]
+    contexts = [tuple(rng.choice([*letters, 999]) for _ in range(rng.randint(0, 3))) for _ in range(200)]
+    for b in brute:
+        for h in contexts:
+            assert np.isclose(sum(b.p(h, c) for c in [*letters, 999]), 1)  # 999: any letter not met
+    for t in ["abba cab", "déjà q bcd", "zz", "qqq www", *texts["y"][:2]]:
+        assert np.allclose(model.costs([t])[0][0], [b.cost(t) for b in brute], atol=1e-5), t
 
 
 # --- 9 decontamination
