@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import chars, textops as T
+from .work import Work
 
 ORDERS = (3, 4, 5, 6)
 BITS = 18
@@ -73,12 +74,6 @@ class Model:
             at = np.flatnonzero(c)
             yield at, c[at]
 
-    def of_bag(self, row: np.ndarray, count: np.ndarray) -> float:
-        """The logit of one text, from _bag_of()."""
-        own = self.used[row]
-        at, c = own[own >= 0], count[own >= 0]
-        return GAIN * float(np.sqrt(c) @ (self.weights * self.scale)[at]) / max(float(np.sqrt(c @ self.scale[at] ** 2)), 1e-9) + self.bias
-
     def logits(self, texts: list[str]) -> np.ndarray:
         own, square = self.weights * self.scale, self.scale**2
         out = []
@@ -112,20 +107,44 @@ def _pieces(text: str, limit: int = 1 << 20):
     yield text[at:]
 
 
-def calibrated(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float) -> Model:
+class Bags:
+    """Labelled bags in flat arrays: text number, table row and count of each n-gram of a text, and the labels."""
+
+    def __init__(self, of: np.ndarray, row: np.ndarray, count: np.ndarray, y: np.ndarray):
+        self.of, self.row, self.count, self.y = of, row, count, y
+
+    @classmethod
+    def listed(cls, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Bags:
+        flat = lambda k: np.concatenate([b[k] for b in bags]) if bags else np.zeros(0, np.int32)
+        return cls(np.repeat(np.arange(len(bags), dtype=np.int32), [len(r) for r, _ in bags]), flat(0), flat(1), np.array(labels, np.int64))
+
+    def only(self, own: np.ndarray) -> Bags:
+        """Those of some texts, numbered anew."""
+        at = own[self.of]
+        return Bags((np.cumsum(own) - 1).astype(np.int32)[self.of[at]], self.row[at], self.count[at], self.y[own])
+
+    def logits(self, model: Model) -> np.ndarray:
+        own = model.used[self.row]
+        ok = own >= 0
+        of, own, c = self.of[ok], own[ok], self.count[ok]
+        scale = model.scale[own]
+        up = np.bincount(of, np.sqrt(c) * scale * model.weights[own], minlength=len(self.y))
+        return GAIN * up / np.maximum(np.sqrt(np.bincount(of, c * scale**2, minlength=len(self.y))), 1e-9) + model.bias
+
+
+def calibrated(bags: Bags, prior: float) -> Model:
     """fit(), with the bias moved so that a score of 0.5 gives the best F1 where label 1 has the share `prior`.
 
     The logits for that come from two models, each fitted on the half that the other is scored on.
     """
-    y = np.array(labels, np.int64)
-    model = fit(bags, labels)
+    y = bags.y
     if not 8 <= y.sum() <= len(y) - 8:
-        return model
+        return fit(bags)
     half = np.arange(len(y)) % 2 == 0
     z = np.empty(len(y))
     for own in (half, ~half):
-        part = fit([t for t, k in zip(bags, own, strict=True) if k], y[own].tolist())
-        z[~own] = [part.of_bag(*t) for t, k in zip(bags, own, strict=True) if not k]
+        z[~own] = bags.only(~own).logits(fit(bags.only(own)))
+    model = fit(bags)
     order = np.argsort(-z)
     w = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))[order]
     f1 = 2 * np.cumsum(w * y[order]) / (np.cumsum(w) + (w * y[order]).sum())
@@ -138,7 +157,7 @@ def _bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The table rows of a text's n-grams with their counts."""
     got = [x for piece in _pieces(text) for x, _ in _bag(chars.folded([piece])[0])]
     row, count = np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True)
-    return row.astype(np.int32), count.astype(np.float32)
+    return row.astype(np.int32), count.astype(np.int32)
 
 
 def loss(of, row, x, y, weight, table, soft, bias):
@@ -152,24 +171,26 @@ def loss(of, row, x, y, weight, table, soft, bias):
     return value, np.outer(pull, lead), np.outer(table.T @ pull, sides), g.sum() * sides
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
+def told(texts: np.ndarray, n: int) -> np.ndarray:
+    """Which table rows are learnt, by the number of texts that hold them: rows that few texts share say nothing
+    about other texts, rows that most share tell none apart."""
+    return (texts >= max(2, MIN_SHARE * n)) & (texts <= MAX_SHARE * n)
+
+
+def fit(bags: Bags, seed: int = 7) -> Model:
     """Trains table and softmax together by gradient descent, both labels weighing the same in all."""
-    y = np.array(labels, np.int64)
+    of, row, count, y = bags.of, bags.row, bags.count, bags.y
     used = np.full(BUCKETS, -1, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     none = np.zeros(0)
     if not 0 < y.sum() < len(y):
         return Model(used, none, none, float(np.log(share / (1 - share))))
-    of = np.repeat(np.arange(len(y), dtype=np.int32), [len(r) for r, _ in bags])
-    row, count = np.concatenate([r for r, _ in bags]), np.concatenate([c for _, c in bags])
-    # rows that few texts share say nothing about other texts, rows that most share tell none apart
-    texts = np.bincount(row, minlength=BUCKETS)
-    kept = np.flatnonzero((texts >= max(2, MIN_SHARE * len(y))) & (texts <= MAX_SHARE * len(y)))
+    kept = np.flatnonzero(told(np.bincount(row, minlength=BUCKETS), len(y)))
     used[kept] = np.arange(len(kept))
     ok = used[row] >= 0
     of, row, count = of[ok], used[row[ok]].astype(np.int32), count[ok]
     scale = 1 / np.sqrt(np.bincount(row, count, minlength=len(kept)) / len(y)) if len(kept) else none
-    x = np.sqrt(count) * scale[row].astype(np.float32)
+    x = np.sqrt(count, dtype=np.float32) * scale[row].astype(np.float32)
     x *= (GAIN / np.maximum(np.sqrt(np.bincount(of, x * x, minlength=len(y))), 1e-9)).astype(np.float32)[of]
     del count, ok
     rng = np.random.default_rng(seed)
@@ -186,31 +207,58 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int
     return Model(used, table @ (soft[:, 1] - soft[:, 0]), scale, float(bias[1] - bias[0]))
 
 
-BAG = "doc_id long, label int, place long, row array<int>, count array<float>"
+BAG = "doc_id long, label int, place long, row array<int>, count array<int>"
+
+
+def _bag_batch(b, bags) -> pa.RecordBatch:
+    row, count = pa.array([r for r, _ in bags], pa.list_(pa.int32())), pa.array([c for _, c in bags], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int32()), b.column("place"), row, count], ["doc_id", "label", "place", "row", "count"])
 
 
 def _bags(batches):
     for b in batches:
-        bags = [_bag_of(t) for t in b.column("text").to_pylist()]
-        row, count = pa.array([r for r, _ in bags], pa.list_(pa.int32())), pa.array([c for _, c in bags], pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int32()), b.column("place"), row, count], ["doc_id", "label", "place", "row", "count"])
+        yield _bag_batch(b, [_bag_of(t) for t in b.column("text").to_pylist()])
+
+
+def _without(sent):
+    """The bags with the rows that are learnt only."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r, c in zip(b.column("row"), b.column("count"), strict=True):
+                r, c = r.values.to_numpy(), c.values.to_numpy()
+                ok = sent.value[r]
+                out.append((r[ok], c[ok]))
+            yield _bag_batch(b, out)
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, label: str = "toxic") -> Model:
     """Fits on at most about per_label rows of each label that are not held out, with their whole texts: executors
-    turn each into its bag, of BUCKETS numbers at most, so no text reaches the driver."""
+    turn each into its bag, of BUCKETS numbers at most, so no text reaches the driver, and n-grams that are not
+    learnt from do not either."""
+    spark = docs.sparkSession
     own = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     rows = docs.select("doc_id").where(~chars.held_out()).distinct().join(own, "doc_id")
     share = rows.agg(F.avg("label").alias("p")).first()["p"]
-    T.small_batches(docs.sparkSession)
+    T.small_batches(spark)
     chosen = chars.picked(rows, "label", per_label, docs)
     if chosen is None:
-        return calibrated([], [], 0.5)
-    got = chosen.withColumn("place", F.xxhash64("text")).transform(T.mapped, _bags, BAG).orderBy("doc_id", "place").toArrow()
-    y, bags = got.column("label").to_pylist(), []
-    for rows_, counts in zip(got.column("row").chunks, got.column("count").chunks, strict=True):
-        bags += [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(rows_, counts, strict=True)]
-    return calibrated(bags, y, share or 0.5)
+        return calibrated(Bags.listed([], []), 0.5)
+    table = Work(spark, "toxicity").table(chosen.withColumn("place", F.xxhash64("text")).transform(T.mapped, _bags, BAG), "bags")
+    held = table.select(F.explode("row").alias("row")).groupBy("row").agg(F.count("*").alias("n")).toArrow()  # BUCKETS rows at most
+    texts = np.zeros(BUCKETS, np.int64)
+    texts[held.column("row").to_numpy()] = held.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(told(texts, table.count()))
+    got = table.transform(T.mapped, _without(sent), BAG).orderBy("doc_id", "place").select("label", "row", "count").toArrow()
+    sent.destroy()
+    row, count = (got.column(c).combine_chunks() for c in ("row", "count"))
+    of = np.repeat(np.arange(len(row), dtype=np.int32), row.value_lengths().to_numpy())
+    bags = Bags(of, row.flatten().to_numpy(), count.flatten().to_numpy(), got.column("label").to_numpy().astype(np.int64))
+    del got
+    return calibrated(bags, share or 0.5)
 
 
 def _scorer(sent):
