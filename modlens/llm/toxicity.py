@@ -34,6 +34,7 @@ GAIN = 5.0
 PER_LABEL = 1500
 MIN_SHARE, MAX_SHARE = 0.005, 0.4
 STEPS, RATE, DECAY = 60, 2.0, 1e-2
+PIECE = 1 << 19  # n-grams that a step works on at once
 
 
 def _bag(codes: np.ndarray):
@@ -124,12 +125,15 @@ class Bags:
         return Bags((np.cumsum(own) - 1).astype(np.int32)[self.of[at]], self.row[at], self.count[at], self.y[own])
 
     def logits(self, model: Model) -> np.ndarray:
-        own = model.used[self.row]
-        ok = own >= 0
-        of, own, c = self.of[ok], own[ok], self.count[ok]
-        scale = model.scale[own]
-        up = np.bincount(of, np.sqrt(c) * scale * model.weights[own], minlength=len(self.y))
-        return GAIN * up / np.maximum(np.sqrt(np.bincount(of, c * scale**2, minlength=len(self.y))), 1e-9) + model.bias
+        up, square = np.zeros(len(self.y)), np.zeros(len(self.y))
+        for i in range(0, len(self.of), PIECE):
+            own = model.used[self.row[i : i + PIECE]]
+            ok = own >= 0
+            of, own, c = self.of[i : i + PIECE][ok], own[ok], self.count[i : i + PIECE][ok]
+            scale = model.scale[own]
+            up += np.bincount(of, np.sqrt(c) * scale * model.weights[own], minlength=len(self.y))
+            square += np.bincount(of, c * scale**2, minlength=len(self.y))
+        return GAIN * up / np.maximum(np.sqrt(square), 1e-9) + model.bias
 
 
 def calibrated(bags: Bags, prior: float) -> Model:
@@ -160,12 +164,29 @@ def _bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return row.astype(np.int32), count.astype(np.int32)
 
 
+def _sums(to: np.ndarray, size: int, x: np.ndarray, by: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of x * by[at] for each number in `to`, in pieces, so that no array of doubles is as long as the bags."""
+    out = np.zeros(size)
+    for i in range(0, len(to), PIECE):
+        j = slice(i, i + PIECE)
+        out += np.bincount(to[j], x[j] * by[at[j]], minlength=size)
+    return out
+
+
+def _totals(to: np.ndarray, size: int, x: np.ndarray, power: int = 1) -> np.ndarray:
+    """Sums of a power of x for each number in `to`, in pieces."""
+    out = np.zeros(size)
+    for i in range(0, len(to), PIECE):
+        out += np.bincount(to[i : i + PIECE], x[i : i + PIECE].astype(float) ** power, minlength=size)
+    return out
+
+
 def loss(of, row, x, y, weight, table, soft, bias):
     """(weighted cross-entropy of the labels, gradients of table, soft and bias) of the bags (text, table row, weight x)."""
     lead = soft[:, 1] - soft[:, 0]
-    z = np.bincount(of, x * (table @ lead)[row], minlength=len(y)) + bias[1] - bias[0]  # what label 1 is ahead by
+    z = _sums(of, len(y), x, table @ lead, row) + bias[1] - bias[0]  # what label 1 is ahead by
     g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-    pull = np.bincount(row, x * g[of], minlength=len(table))
+    pull = _sums(row, len(table), x, g, of)
     sides = np.array([-1.0, 1.0])
     value = (weight * (np.logaddexp(0, z) - y * z)).sum()
     return value, np.outer(pull, lead), np.outer(table.T @ pull, sides), g.sum() * sides
@@ -185,22 +206,27 @@ def fit(bags: Bags, seed: int = 7) -> Model:
     none = np.zeros(0)
     if not 0 < y.sum() < len(y):
         return Model(used, none, none, float(np.log(share / (1 - share))))
-    kept = np.flatnonzero(told(np.bincount(row, minlength=BUCKETS), len(y)))
+    held = sum(np.bincount(row[i : i + PIECE], minlength=BUCKETS) for i in range(0, len(row), PIECE))
+    kept = np.flatnonzero(told(held, len(y)))
     used[kept] = np.arange(len(kept))
-    ok = used[row] >= 0
-    of, row, count = of[ok], used[row[ok]].astype(np.int32), count[ok]
-    scale = 1 / np.sqrt(np.bincount(row, count, minlength=len(kept)) / len(y)) if len(kept) else none
-    x = np.sqrt(count, dtype=np.float32) * scale[row].astype(np.float32)
-    x *= (GAIN / np.maximum(np.sqrt(np.bincount(of, x * x, minlength=len(y))), 1e-9)).astype(np.float32)[of]
-    del count, ok
+    small = used.astype(np.int32)[row]
+    ok = small >= 0
+    of, row, count = (bags.of, small, bags.count) if ok.all() else (bags.of[ok], small[ok], bags.count[ok])
+    del small, ok
+    scale = 1 / np.sqrt(_totals(row, len(kept), count) / len(y)) if len(kept) else none
+    x = np.sqrt(count, dtype=np.float32)
+    x *= scale.astype(np.float32)[row]
+    x *= (GAIN / np.maximum(np.sqrt(_totals(of, len(y), x, 2)), 1e-9)).astype(np.float32)[of]
+    del count
     rng = np.random.default_rng(seed)
-    table, soft, bias = rng.normal(0, 0.01, (len(kept), DIM)), rng.normal(0, 1, (DIM, 2)), np.zeros(2)
+    table, soft, bias = rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)), np.zeros(2)
     soft /= np.linalg.norm(soft[:, 1] - soft[:, 0])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     speed = [np.zeros_like(w) for w in (table, soft, bias)]
     for _ in range(STEPS):
         _, to_table, to_soft, to_bias = loss(of, row, x, y, weight, table, soft, bias)
-        for w, v, d, rate in zip((table, soft, bias), speed, (to_table + DECAY * table, to_soft, to_bias), (RATE, 0.05, 0.5), strict=True):
+        to_table += DECAY * table
+        for w, v, d, rate in zip((table, soft, bias), speed, (to_table, to_soft, to_bias), (RATE, 0.05, 0.5), strict=True):
             v *= 0.9
             v += d
             w -= rate * v
@@ -257,8 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, label:
     row, count = (got.column(c).combine_chunks() for c in ("row", "count"))
     of = np.repeat(np.arange(len(row), dtype=np.int32), row.value_lengths().to_numpy())
     bags = Bags(of, row.flatten().to_numpy(), count.flatten().to_numpy(), got.column("label").to_numpy().astype(np.int64))
-    del got
-    return calibrated(bags, share or 0.5)
+    del got, row, count, of
+    model = calibrated(bags, share or 0.5)
+    del bags
+    T.release()  # the driver goes on with other work
+    return model
 
 
 def _scorer(sent):
