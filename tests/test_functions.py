@@ -72,3 +72,23 @@ def test_compare():
     assert linediff.compare("a", "a\n", None)[:2] == (1, 1)
     cut = linediff.compare("", "é" * 100 + "\n", None, most_bytes=50)
     assert cut[4].endswith(linediff.TRUNCATED) and cut[5]
+
+
+def test_flags_in_the_middle():
+    """(?i) holds to the end of its group, through later alternatives, in both engines."""
+    import re
+
+    cases = [("a(?i)b|c", "aB", True), ("a(?i)b|c", "C", True), ("a(?i)b", "AB", False), ("(x(?i)y)z", "xYz", True), ("(x(?i)y)z", "xYZ", False), (r"[(?i)]$", "(", True), (r"a$", "a\n", False)]
+    for p, s, want in cases:
+        assert bool(re.search(regexes.to_python(p), s)) is want, p
+
+
+def test_large_texts_take_little_memory():
+    import tracemalloc
+
+    a, b = [f"old {i}\n" for i in range(4000)], [f"new {i}\n" if i % 2 else f"old {i}\n" for i in range(4000)]
+    tracemalloc.start()
+    got = linediff.matched(a, b[::-1][:2000] + b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2000 and peak < 40 << 20

@@ -261,3 +261,20 @@ def test_cycles_and_renderers(spark):
     assert graph.cycles([("A", "B")]) == []
     g = near(spark, {'A"q': ["B"], "B": []}, ['A"q'])
     assert '"A\\"q" -> "B";' in graph.dot(g) and "n0 --> n1" in graph.mermaid(g)
+
+
+def test_missing_text_is_an_error(spark):
+    (a, x), (b, y) = side(spark, [row("A", "1")]), side(spark, [row("A", "2", "u\n")])
+    with pytest.raises(Exception, match="no old text is stored for A"):
+        diff.changes(a, b, x.limit(0), y, spec()).collect()
+    unknown = a.withColumn("stored_len", F.lit(None).cast("long"))
+    assert diff.changes(unknown, b.withColumn("stored_len", F.lit(None).cast("long")), x, y, spec()).first()["lines_added"] == 1
+
+
+def test_limits_tell_what_they_leave_out(spark):
+    k, c = run(spark, [], [row(f"M{i:03}") for i in range(250)])
+    told = diff.summary(k).first().asDict()
+    whole = render.markdown("x", "y", told, c)
+    assert whole.count("### ") == 250 and "left out" not in whole
+    assert "247 more changes are left out" in render.markdown("x", "y", told, c, limit=3)
+    assert len(render.text(c).splitlines()) == 251 and render.text(c, limit=4).endswith("246 more rows\n")

@@ -133,3 +133,12 @@ def test_stream(spark, folder):
     assert rows.count() == 4 and rows.select("name").distinct().count() == 3
     assert ingest.matching_lines(rows.select("name", "text"), "longer").select("name").first()["name"] == "Core"
     assert os.path.isdir(mark) and rows.where(F.col("failed")).count() == 0
+
+
+def test_statements_end_at_line_ends():
+    make = lambda body: jsfacts.facts(f'__d("M",[],function(t,n,r,o,a,i){{{body}}},1)')[0].functions
+    assert make("var x = 1\nfunction go(){}") == ["go"]
+    assert make("a()\nfunction f(){}\nvar g = function(){}\nclass H{}") == ["H", "f", "g"]
+    assert make("var x = 1 +\nfunction no(){}") == [] and make("if (x)\nfunction no(){}") == []
+    assert archive.stable_text("a=1\nb=2") == "a=1\nb=2\n" and archive.stable_text("return\nx") == "return\nx\n"
+    assert archive.stable_text("f(a,\n b)") == archive.stable_text("f(a, b)") and archive.stable_text("a\n+b") == "a+b\n"
