@@ -2,10 +2,13 @@
 
 Writing: each page is a record.  Of pages with equal payloads of at least REVISIT_BYTES the
 one with the smallest page_id is a `response`, the others are `revisit` records that refer
-to it; which they are comes from one aggregate per payload digest (partial sums first, so a
-payload that makes up a third of all pages costs no more than another), joined to the pages
-by digest.  HTTP bodies are sent in chunks, and a block longer than SEGMENT_BYTES goes on
-in `continuation` records.  Files are gzip text written by Spark, of MAX_RECORDS each.
+to it.  One aggregate per payload digest gives the responses with their payloads (partial
+results first, so a payload that makes up a third of all pages moves once from each task);
+revisits come from page ids and digests alone.  Names of records follow from page_id, digest
+and url, and the number among equal rows, so a task that runs again gives the same ones.
+HTTP bodies are sent in chunks, and a block longer than SEGMENT_BYTES goes on in
+`continuation` records.  Files are gzip text written by Spark, of MAX_RECORDS each: as
+continuations are records too, a file unpacks to some 33 MB at most.
 
 Reading: files are parsed record by record as they are unpacked; continuation records are
 grouped by their origin's identifier, put in the order of their segment numbers and checked
@@ -96,16 +99,29 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, segme
     """Writes page_id, url and html as gzipped WARC files in the folder `path`."""
     T.small_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
-    # where a row stands in the input gives it a name that tells repeated rows apart
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"))
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    shared = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    named = lambda p, r: F.concat(F.lit("urn:page:"), F.coalesce(p.cast("string"), F.lit("null")), F.lit(":"), r.cast("string"))
-    typed = rows.join(shared, "digest", "left").select(
-        named(F.col("page_id"), F.col("row")).alias("rid"), "url", "digest",
-        F.when(F.col("first").isNotNull() & (F.col("first.row") != F.col("row")), named(F.col("first.page_id"), F.col("first.row"))).alias("refers_to"),
-        F.when(F.col("first").isNull() | (F.col("first.row") == F.col("row")), F.col("html")).alias("html"),
-    )
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"))
+    large = F.octet_length("html") >= revisit_bytes
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")
+
+    def named(page, url, number):
+        """A name that follows from the row alone, and for repeated rows from their number: a task that runs again gives it again."""
+        return F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.hex("digest"), F.lit(":"), F.substring(F.sha2(url, 256), 1, 16), F.lit(":"), number.cast("string"))
+
+    def record(number, refers_to, payload):
+        return [named(F.col("page_id"), F.col("url"), number).alias("rid"), "url", "digest", refers_to.cast("string").alias("refers_to"), payload.cast("string").alias("html")]
+
+    none = F.lit(None)
+    # each large payload once: copies are collapsed before they are shuffled, and equal digests have equal payloads
+    whole = rows.where(large).groupBy("digest").agg(F.min(order).alias("first"), F.first("html").alias("html"))
+    responses = whole.select("digest", "first.page_id", "first.url", "html").select(record(F.lit(0), none, F.col("html")))
+    # what is left needs no large payload
+    keys = rows.groupBy("digest", "page_id", "url", large.alias("large"), F.when(~large, F.col("html")).alias("html")).agg(F.count("*").alias("n"))
+    small = keys.where("not large").withColumn("number", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(record(F.col("number"), none, F.col("html")))
+    shared = keys.where("large").groupBy("digest").agg(F.min(order).alias("first"), F.sum("n").alias("all")).where("all > 1").select("digest", "first")
+    own = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url"))
+    others = keys.where("large").join(shared, "digest").withColumn("from", F.when(own, F.lit(1)).otherwise(F.lit(0))).where(F.col("n") > F.col("from"))
+    revisits = others.withColumn("number", F.explode(F.sequence(F.col("from"), F.col("n") - 1))).select(record(F.col("number"), named(F.col("first.page_id"), F.col("first.url"), F.lit(0)), none))
+    typed = responses.unionByName(small).unionByName(revisits)
 
     def run(batches):
         for b in batches:

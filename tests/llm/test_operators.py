@@ -429,6 +429,13 @@ def test_warc(spark):
     assert got == sorted(want)
     assert warc.round_trip(df.limit(0)).count() == 0
     work = Work(spark, "warc-test")
+    # names follow from the rows: from a shuffled input in another order, and with equal page_ids of other urls
+    more = df.unionByName(df.limit(0)).unionByName(spark.createDataFrame([(11, u, "<p>" + "b" * n, "z") for n in (300, 5) for u in ("u", "v", "u", None)], df.schema))
+    names = []
+    for k in (3, 5):
+        warc.write(more.repartition(k, "html"), f"{work.path}/n{k}")
+        names.append(sorted(r[0] for r in warc.read(spark, f"{work.path}/n{k}").select("record_id").collect()))
+    assert names[0] == names[1] and len(set(names[0])) == len(names[0]) == len(rows) + 8
     warc.write(df, f"{work.path}/a")
     read = warc.read(spark, f"{work.path}/a").where("record_type = 'response'").collect()
     assert big in {bytes(r["payload"]).decode() for r in read} and all(r["complete"] for r in read)
