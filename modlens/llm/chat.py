@@ -27,8 +27,9 @@ import hashlib
 import os
 import re
 import uuid
-from bisect import bisect_left, bisect_right
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,15 +40,14 @@ CONTROL = (TURN, TEXT, END, "<|endoftext|>")
 PIECE_CHARS = 1 << 20
 _PLAIN = re.compile(r"<(\\*)(?=turn>|text>|/turn>|\|endoftext\|>)")
 _ESCAPED = re.compile(r"<\\(\\*)(?=turn>|text>|/turn>|\|endoftext\|>)")
-_TURN = re.compile(r"<turn>(.*?)<text>(.*?)</turn>\n", re.DOTALL)
 
 
 def escape(s: str) -> str:
-    return _PLAIN.sub(r"<\\\1", s)
+    return _PLAIN.sub(r"<\\\1", s) if "<" in s else s
 
 
 def unescape(s: str) -> str:
-    return _ESCAPED.sub(r"<\1", s)
+    return _ESCAPED.sub(r"<\1", s) if "<\\" in s else s
 
 
 def render(turns, at: int = 0) -> tuple[str, list[tuple[int, int]]]:
@@ -64,30 +64,26 @@ def render(turns, at: int = 0) -> tuple[str, list[tuple[int, int]]]:
 
 def parse(rendered: str) -> list[tuple[str, str]]:
     """The turns, read back."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(rendered)]
+    out = []
+    for turn in rendered.split(f"{END}\n")[:-1]:  # inside texts control strings are escaped
+        role, _, text = turn[len(TURN) :].partition(TEXT)
+        out.append((unescape(role), unescape(text)))
+    return out
 
 
-def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[bool]:
+def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """For each token whether it lies in one of the sorted, disjoint spans."""
-    starts, ends = [a for a, _ in spans], [b for _, b in spans]
-    out = [False] * len(offsets)
-    lo_of, hi_of = [a for a, _ in offsets], [b for _, b in offsets]
-    for a, b in zip(starts, ends, strict=True):
-        i, j = bisect_left(lo_of, a), bisect_right(hi_of, b)
-        out[i:j] = [True] * (j - i)
+    out = np.zeros(len(starts), bool)
+    at = np.array(spans, np.int64).reshape(-1, 2)
+    for i, j in zip(np.searchsorted(starts, at[:, 0], "left"), np.searchsorted(ends, at[:, 1], "right"), strict=True):
+        out[i:j] = True
     return out
 
 
-def loss_texts(rendered: str, offsets, masked) -> list[str]:
+def loss_texts(rendered: str, starts: np.ndarray, ends: np.ndarray, masked: np.ndarray) -> list[str]:
     """The masked text, unescaped: one string for each run of masked tokens."""
-    out, run = [], None
-    for (a, b), m in zip(offsets, masked, strict=True):
-        if m:
-            run = (run[0] if run else a, max(b, run[1] if run else b))
-        elif run:
-            out.append(unescape(rendered[run[0] : run[1]]))
-            run = None
-    return [*out, unescape(rendered[run[0] : run[1]])] if run else out
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], masked.astype(np.int8), [0]])))
+    return [unescape(rendered[starts[i] : ends[i:j].max()]) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
 _made: dict = {}
@@ -137,14 +133,18 @@ def render_conversations(rows: DataFrame, tokenizer_json: str, piece_chars: int
 
         def flush():
             texts = [render(turns) for *_, turns in group]
-            cols = [[] for _ in range(9)]
-            for (conv, number, turns), (text, spans), e in zip(group, texts, t.encode_batch([x for x, _ in texts], add_special_tokens=False), strict=True):
-                off = e.offsets
-                row = (conv, number, len(turns), text, [x for s in spans for x in s], e.ids, [a for a, _ in off], [z for _, z in off], mask(off, spans))
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-            schema = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, schema, strict=True)], [x.split()[0] for x in FORMATTED.split(", ")])
+            ids, starts, ends, loss, cuts = [], [], [], [], [0]
+            for (_, spans), e in zip(texts, t.encode_batch([x for x, _ in texts], add_special_tokens=False), strict=True):
+                ids.append(np.array(e.ids, np.int32))
+                off = np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(ids[-1]))
+                starts.append(off[::2])
+                ends.append(off[1::2])
+                loss.append(mask(off[::2], off[1::2], spans))
+                cuts.append(cuts[-1] + len(ids[-1]))
+            flat = [pa.array([x for x, _, _ in group], pa.int64()), pa.array([x for _, x, _ in group], pa.int32()), pa.array([len(x) for *_, x in group], pa.int64()), pa.array([x for x, _ in texts], pa.string())]
+            spans = pa.array([list(chain.from_iterable(x)) for _, x in texts], pa.list_(pa.int64()))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(x))) for x in (ids, starts, ends, loss)]
+            return pa.RecordBatch.from_arrays([*flat, spans, *lists], [x.split()[0] for x in FORMATTED.split(", ")])
 
         for p in pieces(batches):
             group.append(p)
@@ -183,20 +183,23 @@ def digests(pieces: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for r in b.to_pylist():
-                if not any_ or r["piece"] == 0:
+            cuts = b.column("starts").offsets.to_numpy()
+            starts, ends, loss = (b.column(c).values.to_numpy(zero_copy_only=False) for c in ("starts", "ends", "loss"))
+            for k, (conv, piece, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("conv_id", "piece", "rendered")), strict=True)):
+                if not any_ or piece == 0:
                     if any_:
                         close()
-                    key, state, any_ = r["conv_id"], new(), True
-                for role, text in parse(r["rendered"]):
+                    key, state, any_ = conv, new(), True
+                own = slice(cuts[k], cuts[k + 1])
+                for role, said in parse(text):
                     state["n"] += 1
-                    state["turns"].update(f"{role}\n{text}\n".encode())
-                for text in loss_texts(r["rendered"], list(zip(r["starts"], r["ends"], strict=True)), r["loss"]):
-                    state["loss"].update(text.encode())
-                    state["loss_chars"] += len(text)
-                state["chars"] += len(r["rendered"])
-                state["tokens"] += len(r["ids"])
-                state["loss_tokens"] += sum(r["loss"])
+                    state["turns"].update(f"{role}\n{said}\n".encode())
+                for said in loss_texts(text, starts[own], ends[own], loss[own]):
+                    state["loss"].update(said.encode())
+                    state["loss_chars"] += len(said)
+                state["chars"] += len(text)
+                state["tokens"] += int(cuts[k + 1] - cuts[k])
+                state["loss_tokens"] += int(loss[own].sum())
             if len(done) >= 1000:
                 yield batch()
         if any_:
