@@ -152,6 +152,39 @@ def test_bm25(docs, none, rows, monkeypatch):
     assert bm25.search(none, none).count() == 0
 
 
+def test_bm25_of_many_queries(docs, none, rows, monkeypatch):
+    """Queries searched together: the same hits, whatever the groups, tiles, shards and the share of dense terms."""
+    distinct = docs.where("doc_id % 5 = 0").dropDuplicates(["doc_id"])
+    want = brute_bm25(rows, 6)
+    monkeypatch.setattr(bm25, "FEW", 0)
+    for size, shard, group, tile, dense, added, seeds in ((1 << 24, 1 << 24, 1024, 2048, 0.002, 1 << 16, 2000), (3000, 3000, 3, 5, 0.2, 10, 5), (1 << 24, 9000, 4, 7, 2.0, 50, 2), (1 << 24, 1 << 24, 5, 3, 0.0, 9, 12)):
+        for name, value in (("GATHERED", shard), ("GROUP", group), ("TILE_DOCS", tile), ("DENSE", dense), ("ADDED", added), ("SEEDS", seeds), ("GROWTH", 2)):
+            monkeypatch.setattr(bm25, name, value)
+        got = {}
+        for r in bm25.search(docs, distinct, top=6, query_bytes=size).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-round(r["score"], 7), -1 if r["doc_id"] is None else r["doc_id"]))
+        assert got == {q: s[:6] for q, s in want.items() if s}
+    assert bm25.search(none, none).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_bm25_ties_by_number(spark, monkeypatch, few):
+    """Scores that differ only by the order of their sums are ties, also where the best are cut off."""
+    monkeypatch.setattr(bm25, "FEW", few)
+    rng = random.Random(1)
+    own = [f"w{i}" for i in range(60)]
+    texts = {0: " ".join(own)}
+    for k in range(1, 50):  # every term in as many documents, every document with as many terms
+        texts[k] = " ".join(own[(7 * k + 3 * i) % 60] for i in range(20)) + " " + rng.choice(("x", "y")) + "z" * k
+    df = spark.createDataFrame([(i, t) for i, t in sorted(texts.items(), reverse=True)], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["rank"]) for r in bm25.search(df, df.where("doc_id = 0"), top=10).orderBy("rank").collect()]
+    n, avg = 50, (60 + 49 * 21) / 50
+    freq = Counter(w for t in texts.values() for w in set(t.split()))
+    idf = {w: np.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in freq.items()}
+    score = {i: sum(idf[w] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t.split()) / avg)) for w in set(t.split()) & set(own)) for i, t in texts.items()}
+    assert got == [(i, k + 1) for k, i in enumerate(sorted(score, key=lambda i: (-round(score[i], 9), i))[:10])]
+
+
 def test_blocks_are_skipped():
     """Documents of several languages in turn: like ones come together, most blocks stay closed, scores are exact."""
     rng = random.Random(2)
