@@ -255,6 +255,34 @@ def test_cycles_of_any_size(spark, tmp_path):
     assert catalogue.QUERIES["graph_cycles"](spark, str(tmp_path)).distinct().count() == 200_010
 
 
+def test_cycles_beyond_the_walks_of_the_sql(spark, tmp_path):
+    """Rings of up to 200 are those of the SQL, whose walks end there; what comes besides is on longer rings, and nothing is missing."""
+    import duckdb
+
+    from modlens.plans import catalogue
+
+    longer = {}
+    for n in (2000, 5000, 50_000):
+        folder = f"{tmp_path}/{n}"
+        spark.range(n).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        ring = {}  # its length, by member; 7 has no factor in common with n, so all are on rings
+        for a in range(n):
+            if a not in ring:
+                own, b = [a], (7 * a + 3) % n
+                while b != a:
+                    own.append(b)
+                    b = (7 * b + 3) % n
+                ring |= dict.fromkeys(own, len(own))
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        want = sorted(r[0] for r in c.execute(catalogue.ORACLES["graph_cycles"]).fetchall())
+        got = sorted(r["name"] for r in catalogue.QUERIES["graph_cycles"](spark, folder).collect())
+        assert got == sorted(f"doc:{a}" for a in range(n))
+        assert want == sorted(f"doc:{a}" for a, k in ring.items() if k <= 200)
+        longer[n] = len(got) - len(want)
+    assert longer == {2000: 0, 5000: 0, 50_000: 40_000}
+
+
 def test_cycles_and_renderers(spark):
     assert graph.cycles([("A", "B"), ("B", "C"), ("C", "A")]) == [["A", "B", "C", "A"]]
     assert graph.cycles([("b", "a"), ("a", "a"), ("a", "b")]) == [["a", "a"], ["a", "b", "a"]]
