@@ -171,18 +171,14 @@ def test_bm25_of_many_queries(docs, none, rows, monkeypatch):
 def test_bm25_ties_by_number(spark, monkeypatch, few):
     """Scores that differ only by the order of their sums are ties, also where the best are cut off."""
     monkeypatch.setattr(bm25, "FEW", few)
-    rng = random.Random(1)
-    own = [f"w{i}" for i in range(60)]
-    texts = {0: " ".join(own)}
-    for k in range(1, 50):  # every term in as many documents, every document with as many terms
-        texts[k] = " ".join(own[(7 * k + 3 * i) % 60] for i in range(20)) + " " + rng.choice(("x", "y")) + "z" * k
+    name = lambda k, j: f"t{k}x{j}"
+    texts = {0: " ".join(name(k, j) for k in range(40) for j in range(12))}
+    texts |= {k + 1: " ".join(name(k, j) for j in range(12)) for k in range(40)}  # equal scores, of other terms
+    for j in range(12):
+        texts |= {1000 + 20 * j + m: " ".join(name(k, j) for k in range(40)) for m in range(j + 1)}  # make a term's number of documents follow j
     df = spark.createDataFrame([(i, t) for i, t in sorted(texts.items(), reverse=True)], "doc_id long, text string").coalesce(1)
-    got = [(r["doc_id"], r["rank"]) for r in bm25.search(df, df.where("doc_id = 0"), top=10).orderBy("rank").collect()]
-    n, avg = 50, (60 + 49 * 21) / 50
-    freq = Counter(w for t in texts.values() for w in set(t.split()))
-    idf = {w: np.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in freq.items()}
-    score = {i: sum(idf[w] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t.split()) / avg)) for w in set(t.split()) & set(own)) for i, t in texts.items()}
-    assert got == [(i, k + 1) for k, i in enumerate(sorted(score, key=lambda i: (-round(score[i], 9), i))[:10])]
+    got = [r["doc_id"] for r in bm25.search(df, df.where("doc_id = 0"), top=100).orderBy("rank").collect()]
+    assert len(got) == 100 and [i for i in got if 0 < i < 1000] == list(range(1, 22))
 
 
 def test_blocks_are_skipped():
