@@ -19,6 +19,8 @@ labelled rows, or those of one label only, every text gets the smoothed share of
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -261,10 +263,30 @@ def _without(sent):
     return run
 
 
+def _trainer(prior: float):
+    """All bags of a partition, in their order, to one row: the model that calibrated() makes of them, pickled."""
+
+    def run(batches):
+        parts = {"label": [], "row": [], "count": []}
+        lengths = []
+        for b in batches:
+            parts["label"].append(b.column("label").to_numpy())
+            lengths.append(b.column("row").value_lengths().to_numpy())
+            for c in ("row", "count"):
+                parts[c].append(b.column(c).flatten().to_numpy())
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        row, count, y, lengths = joined(parts.pop("row")), joined(parts.pop("count")), joined(parts.pop("label")), joined(lengths)
+        bags = Bags(np.repeat(np.arange(len(y), dtype=np.int32), lengths), row, count, y.astype(np.int64))
+        del row, count
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(calibrated(bags, prior))], pa.binary())], ["model"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, label: str = "toxic") -> Model:
     """Fits on at most about per_label rows of each label that are not held out, with their whole texts: executors
-    turn each into its bag, of BUCKETS numbers at most, so no text reaches the driver, and n-grams that are not
-    learnt from do not either."""
+    turn each into its bag, of BUCKETS numbers at most, and one task fits on the bags without the n-grams that are
+    not learnt from.  Neither texts nor bags reach the driver, only the model does."""
     spark = docs.sparkSession
     own = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     rows = docs.select("doc_id").where(~chars.held_out()).distinct().join(own, "doc_id")
@@ -278,15 +300,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, label:
     texts = np.zeros(BUCKETS, np.int64)
     texts[held.column("row").to_numpy()] = held.column("n").to_numpy()
     sent = spark.sparkContext.broadcast(told(texts, table.count()))
-    got = table.transform(T.mapped, _without(sent), BAG).orderBy("doc_id", "place").select("label", "row", "count").toArrow()
+    bags = table.transform(T.mapped, _without(sent), BAG).repartition(1).sortWithinPartitions("doc_id", "place")
+    model = pickle.loads(bags.select("label", "row", "count").transform(T.mapped, _trainer(share or 0.5), "model binary").collect()[0]["model"])
     sent.destroy()
-    row, count = (got.column(c).combine_chunks() for c in ("row", "count"))
-    of = np.repeat(np.arange(len(row), dtype=np.int32), row.value_lengths().to_numpy())
-    bags = Bags(of, row.flatten().to_numpy(), count.flatten().to_numpy(), got.column("label").to_numpy().astype(np.int64))
-    del got, row, count, of
-    model = calibrated(bags, share or 0.5)
-    del bags
-    T.release()  # the driver goes on with other work
     return model
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modlens.llm import bm25, bpe, chat, decontam, langid, linededup, neardup, substrings, textops, toxicity, warc
+from modlens.llm import bm25, bpe, chars, chat, decontam, langid, linededup, neardup, substrings, textops, toxicity, warc
 from modlens.llm.work import Work
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, _row string, _id string, node string"
@@ -439,6 +440,26 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert bad > 0.5 > good
 
 
+def test_toxicity_is_fitted_off_the_driver(spark):
+    """The driver's arrays do not follow the bags, and the model is the one that a fit on all bags in order gives."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(vocab[i % 2 * 500 :]) for _ in range(1200))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = sorted(r["doc_id"] for r in docs.where(~chars.held_out()).collect())
+    bags = [toxicity._bag_of(rows[i][1]) for i in own]
+    kept = toxicity.told(np.bincount(np.concatenate([r for r, _ in bags]), minlength=toxicity.BUCKETS), len(bags))
+    bags = toxicity.Bags.listed([(r[kept[r]], c[kept[r]]) for r, c in bags], [i % 2 for i in own])
+    alike = toxicity.calibrated(bags, np.mean(bags.y))
+    assert len(bags.of) > 2_000_000 and peak < len(bags.of) * 8 and (model.used == alike.used).all()
+    assert np.allclose(model.weights, alike.weights) and np.isclose(model.bias, alike.bias)
+
+
 # --- 6 WARC
 
 
