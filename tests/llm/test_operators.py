@@ -182,6 +182,42 @@ def test_bm25_ties_by_number(spark, monkeypatch, few):
     assert len(got) == 100 and [i for i in got if 0 < i < 1000] == list(range(1, 22))
 
 
+def test_groups_and_tiles_are_of_one_kind(monkeypatch):
+    """Texts of three languages and unequal lengths in turn: groups and tiles do not mix them, so most pairs need few dense terms."""
+    rng = random.Random(3)
+    vocab = [[f"{c}{i}" for i in range(3000)] for c in "abc"]
+    texts = []
+    for k in range(1500):
+        n = 40 * (1 + k % 5)
+        texts.append([vocab[k % 3][int(300 * rng.random() ** 4)] for _ in range(n)] + rng.choices(vocab[k % 3], k=n))
+    terms = [np.unique(np.array([hash_(w) for w in t], np.uint64), return_counts=True) for t in texts]
+    rows = [(i, t.tobytes(), c.astype(np.int32).tobytes()) for i, (t, c) in enumerate(terms)]
+    q = bm25.Queries(rows[::4])
+    df = Counter(x for t, _ in terms for x in t.tolist())
+    words = np.array([len(t) for t in texts])
+    q.idf, q.avg = np.array([np.log(1 + (1500 - df[x] + 0.5) / (df[x] + 0.5)) for x in q.vocab.tolist()]), words.mean()
+    for name, value in (("GROUP", 100), ("TILE_DOCS", 256), ("DENSE", 0.001)):
+        monkeypatch.setattr(bm25, name, value)
+    together, work = bm25.Together(q, 5), []
+    scores = together._scores
+
+    def counted(row, own, count, first, size, *rest):
+        m, n = rest[-2:]
+        pairs = np.bincount(row, minlength=len(first)) * size
+        work.append(np.minimum(pairs / bm25.DENSE, m * n).sum())  # the cheaper way for each term, in multiplications
+        return scores(row, own, count, first, size, *rest)
+
+    monkeypatch.setattr(together, "_scores", counted)
+    together.search(np.arange(1500), words, np.concatenate([t for t, _ in terms]), np.array([len(t) for t, _ in terms]), np.concatenate([c for _, c in terms]).astype(np.int32))
+    a, d, s = together.hits
+    for i in range(0, len(q.ids), 25):
+        own = dict(zip(q.vocab[q.term[i]].tolist(), q.count[i].tolist(), strict=True))
+        idf = dict(zip(q.vocab.tolist(), q.idf.tolist(), strict=True))
+        every = [(-sum(n * idf[x] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * w / q.avg)) for x, c in zip(t.tolist(), k.tolist(), strict=True) if (n := own.get(x))), j) for j, ((t, k), w) in enumerate(zip(terms, words.tolist(), strict=True))]
+        assert d[a == i].tolist() == [j for _, j in sorted((round(v, 9), j) for v, j in every if v < 0)[:5]]
+    assert sum(work) < 1000 * len(q.ids) * 1500
+
+
 def test_blocks_are_skipped():
     """Documents of several languages in turn: like ones come together, most blocks stay closed, scores are exact."""
     rng = random.Random(2)
