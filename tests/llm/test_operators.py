@@ -210,6 +210,7 @@ def test_groups_and_tiles_are_of_one_kind(monkeypatch):
     monkeypatch.setattr(together, "_scores", counted)
     together.search(np.arange(1500), words, np.concatenate([t for t, _ in terms]), np.array([len(t) for t, _ in terms]), np.concatenate([c for _, c in terms]).astype(np.int32))
     a, d, s = together.hits
+    assert bm25.Together(q, 5).term is together.term  # a worker's next task makes nothing anew
     for i in range(0, len(q.ids), 25):
         own = dict(zip(q.vocab[q.term[i]].tolist(), q.count[i].tolist(), strict=True))
         idf = dict(zip(q.vocab.tolist(), q.idf.tolist(), strict=True))
